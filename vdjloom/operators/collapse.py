@@ -1 +1,277 @@
-"""placeholder"""
+"""Collapse duplicate reads, with missing characters as wildcards.
+
+Reads are first reduced to distinct (sequence, uniq fields) by hash
+aggregation, because equal sequences always end in the same group.  Complete
+sequences found their groups; a sequence with missing characters joins the
+first group whose founder it agrees with.  The founder is looked up by an equi
+join on the stretches the sequence does know, so no group of sequences is
+compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vdjloom.functions import bases, quality
+from vdjloom.functions import fields as fx
+from vdjloom.functions.binding import let
+from vdjloom.functions.durable import checkpoint
+from vdjloom.operators.firstfit import first_fit
+from vdjloom.sources.schema import require_field
+
+MISSING = ".-N"
+LOOKUP_BLOCKS = 6
+RESIDUE_BLOCKS = 8
+_SEP = "\x1f"
+
+
+def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
+             copy: dict[str, str] | None = None, max_field: str | None = None,
+             min_field: str | None = None, inner: bool = False,
+             keep_missing: bool = False, output: str = "unique") -> DataFrame:
+    """Unique sequences with DUPCOUNT.
+
+    Sequences with more than ``max_missing`` missing characters are
+    undetermined.  The representative has the fewest missing characters, then
+    the highest ``max_field`` (lowest ``min_field``, or highest mean quality),
+    then comes first.  ``copy`` reduces fields over the group.  ``output`` is
+    ``unique``, ``duplicate`` or ``undetermined``; ``keep_missing`` adds the
+    undetermined reads to the unique ones with DUPCOUNT 1.
+    """
+    copy = copy or {}
+    require_field(df, *uniq, *copy, max_field, min_field)
+    scope = F.btrim(F.col("seq"), F.lit(MISSING)) if inner else F.col("seq")
+    keyed = df.withColumns({
+        "_s": scope,
+        "_u": F.concat_ws(_SEP, *[F.coalesce(fx.text(F.col(f)), F.lit("")) for f in uniq]),
+        "_metric": _metric(df, max_field, min_field),
+    }).withColumn("_miss", bases.count_missing(F.col("_s"), MISSING))
+    if output == "undetermined":
+        return keyed.filter(F.col("_miss") > max_missing).select(*df.columns)
+
+    determined = keyed.filter(F.col("_miss") <= max_missing)
+    exact = _exact_groups(determined)
+    if max_missing > 0:
+        exact = checkpoint(exact)
+        founders = _founders(exact)
+    else:
+        founders = exact.select("_s", "_u", F.col("_first").alias("_founder"))
+    groups = exact.join(founders, ["_s", "_u"]) if max_missing > 0 else exact.withColumn(
+        "_founder", F.col("_first"))
+    chosen = _representatives(groups)
+    if output == "duplicate":
+        reps = chosen.select(F.col("_rep").alias("seq_no"))
+        return determined.join(reps, "seq_no", "left_anti").select(*df.columns)
+    if output != "unique":
+        raise ValueError("output must be 'unique', 'duplicate' or 'undetermined'")
+
+    unique = df.drop(*copy, "DUPCOUNT").join(
+        chosen.withColumnRenamed("_rep", "seq_no"), "seq_no")
+    for field, action in copy.items():
+        reduced = _copied(determined, founders, field, action)
+        unique = unique.join(reduced, "_founder", "left")
+    kept = [c for c in df.columns if c not in copy and c != "DUPCOUNT"]
+    unique = unique.select(
+        *kept, *copy, F.array(F.col("_count").cast("string")).alias("DUPCOUNT"))
+    if keep_missing:
+        rest = keyed.filter(F.col("_miss") > max_missing).select(
+            *kept, *copy, F.array(F.lit("1")).alias("DUPCOUNT"))
+        unique = unique.unionByName(rest)
+    return unique
+
+
+def _metric(df: DataFrame, max_field, min_field) -> Column:
+    if max_field is not None:
+        return fx.number(fx.text(F.col(max_field)))
+    if min_field is not None:
+        return -fx.number(fx.text(F.col(min_field)))
+    if "qual" in df.columns:
+        return F.coalesce(quality.mean(F.col("qual")), F.lit(0.0))
+    return F.lit(0.0)
+
+
+def _exact_groups(determined: DataFrame) -> DataFrame:
+    """Distinct sequences: count, first read, best metric and its first read.
+
+    Aggregating by (sequence, metric) before (sequence) keeps every buffer of
+    fixed width, so both steps are hash aggregates with map-side combine.
+    """
+    by_metric = determined.groupBy("_s", "_u", "_miss", "_metric").agg(
+        F.count("*").alias("_n"), F.min("seq_no").alias("_no"))
+    return by_metric.groupBy("_s", "_u", "_miss").agg(
+        F.sum("_n").alias("_n"), F.min("_no").alias("_first"),
+        F.max("_metric").alias("_metric"), F.max_by("_no", "_metric").alias("_best"))
+
+
+def _representatives(groups: DataFrame) -> DataFrame:
+    """(_founder, _rep, _count): members with the fewest missing characters
+    compete for the representative, all members count."""
+    lowest = groups.groupBy("_founder", "_miss", "_metric").agg(
+        F.sum("_n").alias("_n"), F.min("_best").alias("_best"))
+    by_level = lowest.groupBy("_founder", "_miss").agg(
+        F.sum("_n").alias("_n"), F.max_by("_best", "_metric").alias("_best"))
+    return by_level.groupBy("_founder").agg(
+        F.sum("_n").alias("_count"), F.min_by("_best", "_miss").alias("_rep"))
+
+
+def _copied(determined: DataFrame, founders: DataFrame, field: str, action: str) -> DataFrame:
+    """(_founder, field) reduced over all members of the group."""
+    values = determined.select(
+        "_s", "_u", "_miss", "seq_no", F.posexplode(field).alias("_at", "_v"))
+    if action in ("min", "max", "sum"):
+        fold = {"min": F.min, "max": F.max, "sum": F.sum}[action]
+        part = values.groupBy("_s", "_u").agg(fold(fx.number(F.col("_v"))).alias("_x"))
+        return part.join(founders, ["_s", "_u"]).groupBy("_founder").agg(
+            F.array(fx.compact(fold("_x"))).alias(field))
+    order = F.struct("_miss", "seq_no", "_at")
+    if action == "set":
+        part = values.groupBy("_s", "_u", "_v").agg(F.min(order).alias("_o"))
+        seen = part.join(founders, ["_s", "_u"]).groupBy("_founder", "_v").agg(
+            F.min("_o").alias("_o"))
+        return seen.groupBy("_founder").agg(
+            F.sort_array(F.collect_list(F.struct("_o", "_v")))["_v"].alias(field))
+    placed = values.withColumn("_o", order).join(founders, ["_s", "_u"]).groupBy("_founder")
+    if action == "first":
+        return placed.agg(F.array(F.min_by("_v", "_o")).alias(field))
+    if action == "last":
+        return placed.agg(F.array(F.max_by("_v", "_o")).alias(field))
+    if action == "cat":
+        return placed.agg(F.array(F.array_join(
+            F.sort_array(F.collect_list(F.struct("_o", "_v")))["_v"], "")).alias(field))
+    raise ValueError(f"unknown copy action {action!r}")
+
+
+# -- wildcard groups -------------------------------------------------------------
+
+# One non-zero digit per nucleotide code, missing characters are 0.
+_CODES = "ACGTRYSWKMBDHVU"
+_DIGITS = "123456789ABCDEF"
+
+
+def _words(seq: Column) -> Column:
+    digits = F.translate(F.upper(seq), _CODES + "N.-", _DIGITS + "000")
+    return let(digits, lambda d: F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(d) - 1) / bases.CHUNK).cast("int")),
+        lambda i: bases.pack_chunk(F.substr(d, i * bases.CHUNK + 1, F.lit(bases.CHUNK)))))
+
+
+def _occupied(word: Column) -> Column:
+    """The lowest bit of every digit that is not zero."""
+    return (
+        word.bitwiseOR(F.shiftright(word, 1)).bitwiseOR(F.shiftright(word, 2))
+        .bitwiseOR(F.shiftright(word, 3)).bitwiseAND(F.lit(int("1" * bases.CHUNK, 16)))
+    )
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """Equal at every place where both sequences have a base."""
+    clash = F.zip_with(a, b, lambda x, y: _occupied(x).bitwiseAND(_occupied(y)).bitwiseAND(
+        _occupied(x.bitwiseXOR(y))))
+    return ~F.exists(clash, lambda w: w != 0)
+
+
+def _blocks(length: Column, count: int) -> Column:
+    """(start, len) of ``count`` nearly equal blocks of a sequence."""
+    edges = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
+        (F.floor(i * length / count) + 1).cast("int").alias("start"),
+        (F.floor((i + 1) * length / count) - F.floor(i * length / count)).cast("int")
+        .alias("len")))
+    return F.filter(edges, lambda b: b["len"] > 0)
+
+
+def _complete(seq: Column, block: Column) -> Column:
+    return ~F.substr(seq, block["start"], block["len"]).rlike("[N.-]")
+
+
+def _longest_run(seq: Column) -> Column:
+    """The longest stretch without missing characters, as one (start, len)."""
+    begin = F.struct(F.lit(1).alias("at"), F.lit(1).alias("start"), F.lit(0).alias("len"))
+
+    def step(acc: Column, token: Column) -> Column:
+        longer = F.length(token) > acc["len"]
+        return F.struct(
+            (acc["at"] + F.length(token) + 1).alias("at"),
+            F.when(longer, acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(longer, F.length(token)).otherwise(acc["len"]).alias("len"))
+
+    return F.aggregate(F.split(seq, "[N.-]"), begin, step, lambda acc: F.struct(
+        acc["start"].alias("start"), acc["len"].alias("len")))
+
+
+def _cut(seq: Column, segments: Column) -> Column:
+    return F.array_join(
+        F.transform(segments, lambda b: F.substr(seq, b["start"], b["len"])), "|")
+
+
+def _founders(exact: DataFrame) -> DataFrame:
+    """(_s, _u, _founder) for every distinct sequence; the founder is named by
+    the number of its first read."""
+    clean = exact.filter(F.col("_miss") == 0)
+    vague = exact.filter(F.col("_miss") > 0).withColumn(
+        "_len", F.length("_s")).withColumn("_known", F.filter(
+            _blocks(F.col("_len"), LOOKUP_BLOCKS), lambda b: _complete(F.col("_s"), b)))
+    vague = vague.withColumn("_segments", F.when(
+        F.size("_known") > 0, F.col("_known")).otherwise(F.array(_longest_run(F.col("_s")))))
+    vague = vague.select(
+        "_s", "_u", "_len", "_miss", "_first", "_segments", _words(F.col("_s")).alias("_w"),
+        _cut(F.col("_s"), F.col("_segments")).alias("_key"))
+
+    # Complete sequences are cut along every pattern of known stretches in use.
+    patterns = vague.select("_u", "_len", "_segments").distinct()
+    cut = (
+        clean.withColumn("_len", F.length("_s")).join(patterns, ["_u", "_len"])
+        .select("_u", "_len", "_segments", _cut(F.col("_s"), F.col("_segments")).alias("_key"),
+                F.col("_first").alias("_clean"), _words(F.col("_s")).alias("_cw"))
+    )
+    hits = (
+        vague.join(cut, ["_u", "_len", "_segments", "_key"])
+        .filter(_agree(F.col("_w"), F.col("_cw")))
+        .groupBy("_s", "_u").agg(F.min("_clean").alias("_founder"))
+    )
+    resolved = checkpoint(
+        vague.select("_s", "_u", "_len", "_miss", "_first", "_w")
+        .join(hits, ["_s", "_u"], "left"))
+    found = clean.select("_s", "_u", F.col("_first").alias("_founder")).union(
+        resolved.filter("_founder IS NOT NULL").select("_s", "_u", "_founder"))
+    residue = resolved.filter("_founder IS NULL")
+    if not residue.limit(1).count():
+        return found
+    return found.union(_residue_founders(residue))
+
+
+def _residue_founders(residue: DataFrame) -> DataFrame:
+    """First fit among sequences that agree with no complete one.
+
+    Keys are the complete blocks.  Two sequences that both know more than half
+    of the blocks share one; when a (length, fields) class has a sequence that
+    knows less, the whole class also shares one common key.
+    """
+    blocks = residue.withColumn("_blocks", _blocks(F.col("_len"), RESIDUE_BLOCKS))
+    known = blocks.withColumn("_known", F.filter(
+        F.col("_blocks"), lambda b: _complete(F.col("_s"), b)))
+    little = F.size("_known") * 2 <= F.size("_blocks")
+    classes = known.groupBy("_u", "_len").agg(F.bool_or(little).alias("_vague"))
+    common = F.when(F.col("_vague"), F.array(F.lit("*"))).otherwise(
+        F.array().cast("array<string>"))
+    named = F.transform(F.col("_known"), lambda b: F.concat_ws(
+        ":", b["start"], F.substr("_s", b["start"], b["len"])))
+    keyed = known.join(classes, ["_u", "_len"]).withColumn(
+        "keys", F.transform(F.concat(named, common), lambda k: F.concat_ws(
+            _SEP, F.col("_len"), F.col("_u"), k)))
+    ordered = checkpoint(
+        keyed.select("_s", "_u", "_first", "keys", F.col("_w").alias("data"), "_miss")
+        .orderBy("_miss", "_first").withColumn("rank", F.monotonically_increasing_id()))
+    fit = first_fit(ordered, _agree)
+    names = ordered.select(F.col("rank").alias("founder"), F.col("_first").alias("_founder"))
+    return ordered.select("_s", "_u", "rank").join(fit, "rank").join(names, "founder").select(
+        "_s", "_u", "_founder")
+
+
+def count_outputs(df: DataFrame, **options) -> DataFrame:
+    """Number of reads per output of ``collapse``."""
+    kinds = [
+        collapse(df, output=k, **options).select(F.lit(k).alias("kind"))
+        for k in ("unique", "duplicate", "undetermined")]
+    return kinds[0].union(kinds[1]).union(kinds[2]).groupBy("kind").agg(
+        F.count("*").alias("reads"))

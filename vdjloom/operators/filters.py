@@ -43,12 +43,13 @@ def filter_quality(df: DataFrame, min_qual: float = 20, inner: bool = True,
                    keep: str = "pass") -> DataFrame:
     """Keep reads whose mean Phred score is at least ``min_qual``."""
     require_quality(df)
-    scores = F.col("qual")
+    scores, seq = F.col("qual"), F.col("seq")
+    length = F.length(_scope(inner))
     if inner:
-        seq = F.col("seq")
-        scores = F.slice(scores, bases.inner_start(seq) + 1, F.length(bases.inner(seq)))
-    enough = quality.total(scores) >= min_qual * F.size(scores)
-    return split_on(df, (F.length(_scope(inner)) > 0) & enough, keep)
+        scores = F.when(length == F.length(seq), scores).otherwise(
+            F.slice(scores, bases.inner_start(seq) + 1, length))
+    enough = quality.total(scores) >= min_qual * length
+    return split_on(df, (length > 0) & enough, keep)
 
 
 def filter_missing(df: DataFrame, max_missing: int, inner: bool = True,
@@ -79,12 +80,25 @@ def trim_quality(df: DataFrame, min_qual: float = 20, window: int = 10,
     scores = F.reverse("qual") if reverse else F.col("qual")
 
     def first_low(q: Column) -> Column:
-        def low(start: Column) -> Column:
+        """Start of the first low window: one running sum over the full
+        windows, then the shorter windows at the end of the read."""
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + 1
+            total = acc["total"] + x - F.coalesce(F.get(q, at - 1 - window), F.lit(0))
+            hit = (at >= window) & (total < min_qual * window)
+            return F.struct(
+                at.alias("at"), total.alias("total"),
+                F.coalesce(acc["cut"], F.when(hit, at - window + 1)).alias("cut"))
+
+        def low_tail(start: Column) -> Column:
             part = F.slice(q, start, F.lit(window))
             return quality.total(part) < min_qual * F.size(part)
 
-        starts = F.sequence(F.lit(1), F.size(q))
-        return F.coalesce(F.get(F.filter(starts, low), F.lit(0)), F.size(q) + 1)
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("total"),
+                         F.lit(None).cast("int").alias("cut"))
+        full = F.aggregate(q, begin, step, lambda acc: acc["cut"])
+        tail = F.sequence(F.greatest(F.size(q) - window + 2, F.lit(1)), F.size(q))
+        return F.coalesce(full, F.get(F.filter(tail, low_tail), F.lit(0)), F.size(q) + 1)
 
     kept = F.col("_kept")
     trimmed = df.withColumn(

@@ -13,9 +13,12 @@ from vdjloom.sources import derived
 
 
 def unique_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality filter, frequency consensus per UMI, collapse, CONSCOUNT >= 2."""
+    """Quality filter, frequency consensus per UMI, collapse, CONSCOUNT >= 2.
+
+    Consensus reads with an undecided base are kept as they are.
+    """
     reads = filter_quality(derived.mate(spark, sf_dir, 1), 24)
     cons = build_consensus(reads, min_freq=0.6, use_quality=False)
-    unique = collapse(cons, copy={"CONSCOUNT": "sum"}, max_missing=40)
+    unique = collapse(cons, copy={"CONSCOUNT": "sum"}, keep_missing=True)
     strong = split_threshold(unique, "CONSCOUNT", 2)["atleast"]
     return header_table(strong, ["CONSCOUNT", "DUPCOUNT"])

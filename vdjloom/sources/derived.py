@@ -33,21 +33,32 @@ def _substituted(bases: Column) -> Column:
     )
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both mates in the canonical schema."""
+def reads(spark: SparkSession, sf_dir: str, mates: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """The chosen mates in the canonical schema.
+
+    Sequences are made before the mates are unfolded, so operators on the
+    result filter plain columns instead of repeating the making of them.
+    """
     group = (F.col("l_orderkey") % GROUPS).cast("string")
     rows = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        .agg(F.min("l_returnflag").alias("rf"))
+        .agg(F.bool_and(F.col("l_returnflag") == "R").alias("single"))
         .withColumn("read_id", F.concat_ws(
             ".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
         .withColumn("f", _fragment(group))
-        .withColumn("mate", F.explode(F.array(F.lit(1), F.lit(2))))
-        .filter(~((F.col("mate") == 2) & (F.col("rf") == "R")))
     )
-    head = F.substring("f", 1, 40)
-    tail = F.reverse(F.translate(F.substring("f", 25, 40), "ACGT", "TGCA"))
+    made = {1: F.substring("f", 1, 40),
+            2: F.reverse(F.translate(F.substring("f", 25, 40), "ACGT", "TGCA"))}
+    cells = [
+        F.struct(F.lit(m).cast("tinyint").alias("mate"), _substituted(made[m]).alias("seq"))
+        for m in mates]
+    if 2 in mates:
+        rows = rows if 1 in mates else rows.filter(~F.col("single"))
+        unfolded = F.explode(F.filter(F.array(*cells), lambda c: (
+            (c["mate"] == 1) | ~F.col("single"))))
+    else:
+        unfolded = F.explode(F.array(*cells))
     digest = F.md5(F.concat(F.lit("q"), F.col("read_id")))
     qual = F.translate(F.substring(F.concat(digest, digest), 1, 40), HEX, PHRED)
     order = (
@@ -58,18 +69,18 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.md5(F.concat(F.lit("b"), group)), 1, 12), HEX, BASES)
     return rows.select(
         "read_id",
-        _substituted(F.when(F.col("mate") == 1, head).otherwise(tail)).alias("seq"),
-        quality.decode(qual).alias("qual"),
         order.alias("seq_no"),
-        F.col("mate").cast("tinyint").alias("mate"),
+        quality.decode(qual).alias("qual"),
         F.array(umi).alias("BARCODE"),
         F.array(F.concat(F.lit("S"), F.col("l_suppkey") % 3)).alias("SAMPLE"),
         F.array(F.concat(F.lit("IG"), letter)).alias("PRIMER"),
-    )
+        unfolded.alias("cell"),
+    ).select("read_id", "cell.seq", "qual", "seq_no", "cell.mate",
+             "BARCODE", "SAMPLE", "PRIMER")
 
 
 def mate(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
-    return reads(spark, sf_dir).filter(F.col("mate") == which).drop("mate")
+    return reads(spark, sf_dir, (which,)).drop("mate")
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
