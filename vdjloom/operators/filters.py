@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vdjloom.functions import bases, quality
-from vdjloom.functions.binding import let
+from vdjloom.functions.binding import bind, let
 from vdjloom.sources.schema import require_field, require_quality
 
 # Characters allowed in a sequence record.
@@ -101,8 +101,8 @@ def trim_quality(df: DataFrame, min_qual: float = 20, window: int = 10,
         return F.coalesce(full, F.get(F.filter(tail, low_tail), F.lit(0)), F.size(q) + 1)
 
     kept = F.col("_kept")
-    trimmed = df.withColumn(
-        "_kept", F.when(F.size("qual") > 0, let(scores, first_low) - 1).otherwise(0))
+    trimmed = bind(df, {
+        "_kept": F.when(F.size("qual") > 0, let(scores, first_low) - 1).otherwise(0)})
     begin = F.length("seq") - kept + 1 if reverse else F.lit(1)
     if keep != "fail":
         trimmed = trimmed.withColumns({
