@@ -145,7 +145,7 @@ def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def _diversity() -> Column:
+def diversity_rate() -> Column:
     """Mean pairwise mismatch of a set, from its per-position base counts."""
     agreeing = sum((_pairs(F.col(f"n_{b}")) for b in BASES), F.lit(0.0))
     total = F.sum(_pairs(_called()))
@@ -156,7 +156,7 @@ def set_diversity(df: DataFrame, barcode: str = "BARCODE") -> DataFrame:
     """Mean pairwise mismatch rate over called bases, one row per set."""
     keyed = df.withColumn("set", fx.text(F.col(barcode)))
     counts = position_counts(keyed, ["set"])
-    return counts.groupBy("set").agg(_diversity().alias("diversity"))
+    return counts.groupBy("set").agg(diversity_rate().alias("diversity"))
 
 
 def _error(kept: Column) -> Column:
@@ -231,7 +231,7 @@ def build_consensus(
     aggs = [F.sort_array(F.collect_list(
         F.when(kept, F.struct("pos", "base", "q")))).alias("_cells")]
     if max_diversity is not None:
-        aggs.append(_diversity().alias("_diversity"))
+        aggs.append(diversity_rate().alias("_diversity"))
     if max_error is not None:
         aggs.append(_error(kept).alias("_error"))
     built = groups.join(positions.groupBy(*keys).agg(*aggs), keys)
