@@ -113,12 +113,12 @@ ORDER BY md5(concat('5:', read_id)), read_id LIMIT 300"""),
     "jn8_select_table": (
         lambda s, d: op.select_reads(
             r1(s, d).withColumn("PRIMER", F.concat("PRIMER", "SAMPLE")), "PRIMER",
-            s.read.parquet(f"{d}/supplier.parquet").filter("s_acctbal > 5000").select(
+            s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey < 2").select(
                 F.concat(F.lit("S"), (F.col("s_suppkey") % 3).cast("string")).alias("PRIMER")),
             negate=True).select("read_id", "seq"),
         with_reads("""
 SELECT read_id, seq FROM r1 WHERE sample NOT IN (
-  SELECT concat('S', CAST(s_suppkey % 3 AS VARCHAR)) FROM supplier WHERE s_acctbal > 5000)"""),
+  SELECT concat('S', CAST(s_suppkey % 3 AS VARCHAR)) FROM supplier WHERE s_suppkey < 2)"""),
     ),
     "jn8_select_barcodes": (
         lambda s, d: op.select_reads(

@@ -17,7 +17,7 @@ def _race(s, d):
     out = plan.race_umi(
         r1(s, d).drop("BARCODE", "PRIMER"), r2(s, d).drop("BARCODE", "PRIMER"),
         LEFT, RIGHT, REGIONS, derived.fragments(s, d), coord="presto", start_2=12,
-        region_len=40, alpha=1e-3, k=8, step=2)
+        region_len=40, alpha=1e-3, step=1)
     return header_table(out, plan.RACE_FIELDS[:2] + ["PRCONS", "CREGION"])
 
 

@@ -70,21 +70,26 @@ def unify_delete(df: DataFrame, set_field: str = "BARCODE", field: str = "SAMPLE
 # -- position counts -----------------------------------------------------------
 
 def position_counts(df: DataFrame, keys: list[str], with_quality: bool = False,
-                    dependent: bool = False) -> DataFrame:
+                    dependent: bool = False, carried: dict[str, Column] | None = None,
+                    extra: list[Column] | None = None) -> DataFrame:
     """Base counts per (keys, position).
 
     ``n_A..n_T`` reads with the base, ``gaps`` reads with a gap, ``n`` reads
     reaching the position; with quality also ``q_A..q_T`` summed scores (or
-    the highest score when the reads are not independent).
+    the highest score when the reads are not independent).  ``carried``
+    columns travel with the exploded rows for the ``extra`` aggregates.
     """
+    df = df.select(*keys, "seq", *(["qual"] if with_quality else []),
+                   *[c.alias(n) for n, c in (carried or {}).items()])
+    kept = [*keys, *(carried or {})]
     if with_quality:
         cells = F.posexplode(F.arrays_zip(
             F.split("seq", "").alias("base"), F.col("qual").alias("q")))
-        rows = df.select(*keys, cells.alias("pos", "cell")).select(
-            *keys, "pos", F.upper("cell.base").alias("base"),
+        rows = df.select(*kept, cells.alias("pos", "cell")).select(
+            *kept, "pos", F.upper("cell.base").alias("base"),
             F.col("cell.q").cast("int").alias("q"))
     else:
-        rows = df.select(*keys, F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base"))
+        rows = df.select(*kept, F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base"))
     base = F.col("base")
     aggs = [F.sum((base == b).cast("int")).alias(f"n_{b}") for b in BASES]
     aggs.append(F.sum(base.isin("-", ".").cast("int")).alias("gaps"))
@@ -94,7 +99,7 @@ def position_counts(df: DataFrame, keys: list[str], with_quality: bool = False,
         aggs += [
             F.coalesce(fold(F.when(base == b, F.col("q"))), F.lit(0)).cast("bigint")
             .alias(f"q_{b}") for b in BASES]
-    return rows.groupBy(*keys, "pos").agg(*aggs)
+    return rows.groupBy(*keys, "pos").agg(*aggs, *(extra or []))
 
 
 def _called() -> Column:
@@ -212,29 +217,30 @@ def build_consensus(
     keyed = df.withColumns({"_set": fx.text(F.col(barcode)), "_primer": primer})
     keys = ["_set", "_primer"]
 
-    groups = keyed.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("seq_no").alias("seq_no"),
-        *_numeric_copies(copy or []))
-    if majority:
-        groups = _majority_primer(groups, primer_freq)
-    else:
-        groups = groups.withColumn("reason", F.lit(None).cast("string"))
-    groups = groups.withColumn("reason", F.coalesce(
-        "reason", F.when(F.col("_n") < min_count, F.lit("CONSCOUNT"))))
-    if keep == "pass":
-        groups = groups.filter(F.col("reason").isNull())
-
-    positions = call_positions(
-        position_counts(keyed, keys, with_quality, dependent),
-        min_freq, min_qual, with_quality, dependent)
+    # One pass: everything about a set rides on its position counts, and what
+    # is counted per read is taken at position 0, which every read has.
+    carried, folds, finals = _numeric_copies(copy or [])
+    counts = position_counts(
+        keyed, keys, with_quality, dependent, {"seq_no": F.col("seq_no"), **carried},
+        [F.min("seq_no").alias("seq_no"), *folds])
+    positions = call_positions(counts, min_freq, min_qual, with_quality, dependent)
     kept = F.lit(True) if max_gap is None else F.col("gaps") / F.col("n") <= max_gap
-    aggs = [F.sort_array(F.collect_list(
-        F.when(kept, F.struct("pos", "base", "q")))).alias("_cells")]
+    at_first = F.col("pos") == 0
+    aggs = [
+        F.sort_array(F.collect_list(F.when(kept, F.struct("pos", "base", "q")))).alias("_cells"),
+        F.max(F.when(at_first, F.col("n"))).alias("_n"),
+        F.min("seq_no").alias("seq_no"), *finals]
     if max_diversity is not None:
         aggs.append(diversity_rate().alias("_diversity"))
     if max_error is not None:
         aggs.append(_error(kept).alias("_error"))
-    built = groups.join(positions.groupBy(*keys).agg(*aggs), keys)
+    built = positions.groupBy(*keys).agg(*aggs)
+    if majority:
+        built = _majority_primer(built, primer_freq)
+    else:
+        built = built.withColumn("reason", F.lit(None).cast("string"))
+    built = built.withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("_n") < min_count, F.lit("CONSCOUNT"))))
 
     reason = F.col("reason")
     if max_diversity is not None:
@@ -278,19 +284,29 @@ def build_consensus(
     return result.drop("_primer")
 
 
-def _numeric_copies(copy: list[tuple[str, str]]) -> list[Column]:
+def _numeric_copies(copy: list[tuple[str, str]]):
+    """(columns to carry, per-position folds, per-set folds) of numeric copies."""
     reduce = {"min": F.min, "max": F.max, "sum": F.sum}
-    return [
-        reduce[a](F.coalesce(fx.number(F.element_at(f, 1)), F.lit(0.0))).alias(f"_{a}_{f}")
-        for f, a in copy if a in reduce]
-
-
-def _majority_primer(groups: DataFrame, primer_freq: float) -> DataFrame:
-    """Keep each set's most frequent primer; fail the set below ``primer_freq``."""
-    chosen = groups.groupBy("_set").agg(
-        F.min_by("_primer", F.struct(-F.col("_n"), F.col("_primer"))).alias("_primer"),
+    carried, folds, finals = {}, [], []
+    for field, action in copy:
+        if action not in reduce:
+            continue
+        name = f"_{action}_{field}"
+        carried[name] = F.coalesce(fx.number(F.element_at(field, 1)), F.lit(0.0))
+        folds.append(reduce[action](F.when(F.col("pos") == 0, F.col(name))).alias(name))
+        finals.append(F.max(name).alias(name))
+    return carried, folds, finals
+
+
+def _majority_primer(built: DataFrame, primer_freq: float) -> DataFrame:
+    """Keep each set's most frequent primer; fail the set below ``primer_freq``.
+
+    One row per (set, primer) arrives here, so a set has few rows."""
+    rest = [c for c in built.columns if c != "_set"]
+    chosen = built.groupBy("_set").agg(
+        F.min_by(F.struct(*rest), F.struct(-F.col("_n"), F.col("_primer"))).alias("_c"),
         (F.max("_n") / F.sum("_n")).alias("_freq"))
-    return groups.join(chosen, ["_set", "_primer"]).withColumn(
+    return chosen.select("_set", "_freq", "_c.*").withColumn(
         "reason", F.when(F.col("_freq") < primer_freq, F.lit("PRIMER")))
 
 

@@ -3,12 +3,17 @@
 Each takes two DataFrames of reads (mate 1, mate 2) and the small inputs, and
 returns the final reads; ``header_table`` of the listed fields is its table.
 Offsets and lengths are parameters with the published protocols' values.
+
+Reads are checkpointed where a later step reads its input more than once: the
+filtered mates before pairing, the consensus reads, and the assembled reads
+before the collapse.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from vdjloom.functions.durable import checkpoint
 from vdjloom.operators.assembly import assemble_align, assemble_sequential
 from vdjloom.operators.collapse import collapse
 from vdjloom.operators.filters import filter_quality
@@ -26,11 +31,12 @@ PLAIN_FIELDS = ["DUPCOUNT", "CPRIMER", "VPRIMER"]
 def _consensus_pair(r1: DataFrame, r2: DataFrame, coord: str, fields_1=(), fields_2=(),
                     primer_freq: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Pair, build one consensus per UMI and mate, and pair the consensus reads."""
+    r1, r2 = checkpoint(r1), checkpoint(r2)
     p1, p2 = pair_reads(r1, r2, fields_1, fields_2, coord=coord)
     c1 = build_consensus(p1, primer_field="PRIMER", primer_freq=primer_freq, max_error=0.1,
                          max_gap=0.5)
     c2 = build_consensus(p2, max_error=0.1, max_gap=0.5)
-    return pair_reads(c1, c2)
+    return pair_reads(checkpoint(c1), checkpoint(c2))
 
 
 def race_umi(r1: DataFrame, r2: DataFrame, primers_1: Primers, primers_2: Primers,
@@ -48,7 +54,7 @@ def race_umi(r1: DataFrame, r2: DataFrame, primers_1: Primers, primers_2: Primer
     reads = primers_align(reads, regions, max_len=region_len, max_error=0.3, mode="tag",
                           rev_primer=True, skip_rc=True, primer_field="CREGION")
     reads = collapse_fields(reads, {"CONSCOUNT": "min"})
-    reads = collapse(reads, max_missing=max_missing, inner=True, uniq=("CREGION",),
+    reads = collapse(checkpoint(reads), max_missing=max_missing, inner=True, uniq=("CREGION",),
                      copy={"CONSCOUNT": "sum"})
     return split_threshold(reads, "CONSCOUNT", min_count)["atleast"]
 
@@ -67,7 +73,7 @@ def paired_umi(r1: DataFrame, r2: DataFrame, c_primers: Primers, v_primers: Prim
                            tail_fields=("CONSCOUNT", "PRCONS"), check=False, **assembly)
     reads = reads.drop("overlap", "overlap_error", "pvalue")
     reads = collapse_fields(reads, {"CONSCOUNT": "min"})
-    reads = collapse(reads, max_missing=max_missing, inner=True, uniq=("PRCONS",),
+    reads = collapse(checkpoint(reads), max_missing=max_missing, inner=True, uniq=("PRCONS",),
                      copy={"CONSCOUNT": "sum"})
     return split_threshold(reads, "CONSCOUNT", min_count)["atleast"]
 
@@ -84,6 +90,6 @@ def paired_plain(r1: DataFrame, r2: DataFrame, v_primers: Primers, c_primers: Pr
                           primer_field="VPRIMER")
     reads = primers_score(reads, c_primers, start=start, mode="cut", rev_primer=True,
                           max_error=score_error, primer_field="CPRIMER")
-    reads = collapse(reads, max_missing=max_missing, inner=True, uniq=("CPRIMER",),
+    reads = collapse(checkpoint(reads), max_missing=max_missing, inner=True, uniq=("CPRIMER",),
                      copy={"VPRIMER": "set"})
     return split_threshold(reads, "DUPCOUNT", min_count)["atleast"]
