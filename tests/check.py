@@ -26,7 +26,7 @@ def main() -> int:
                 df = run(spark, sf_dir)
                 names, ours = oracle.run_spark(df)
                 spark_time = time.time() - start
-                result = _compare(names, ours, con, sql)
+                result = oracle.difference(names, ours, con, sql)
                 size = sum(ours.values())
             else:
                 size = len(run(spark, sf_dir).collect())
@@ -43,17 +43,5 @@ def main() -> int:
     return bad
 
 
-def _compare(names, ours, con, sql):
-    other_names, theirs = oracle.run_sql(con, sql)
-    if sorted(names) != sorted(other_names):
-        return f"columns {sorted(names)} vs {sorted(other_names)}"
-    if ours == theirs:
-        return ""
-    extra, lacking = ours - theirs, theirs - ours
-    return (f"rows {sum(ours.values())} vs {sum(theirs.values())}; "
-            f"only spark {sum(extra.values())} e.g. {list(extra)[:2]}; "
-            f"only sql {sum(lacking.values())} e.g. {list(lacking)[:2]}")
-
-
 if __name__ == "__main__":
     sys.exit(main())

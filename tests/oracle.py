@@ -45,9 +45,8 @@ def run_sql(con, sql):
     return names, rows(names, cur.fetchall())
 
 
-def difference(df, con, sql) -> str:
+def difference(names, ours, con, sql) -> str:
     """Empty when equal, otherwise what differs."""
-    names, ours = run_spark(df)
     other_names, theirs = run_sql(con, sql)
     if sorted(names) != sorted(other_names):
         return f"columns {sorted(names)} vs {sorted(other_names)}"
