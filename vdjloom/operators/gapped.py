@@ -23,55 +23,51 @@ def _codes(regions: list[str], width: int, lookup: np.ndarray) -> np.ndarray:
 def place(codes: np.ndarray, lengths: np.ndarray, primer: np.ndarray, gap):
     """Best (score, begin, end) of one primer in every region.
 
+    ``codes`` is (place, read), so each step works on whole contiguous rows.
     ``gap`` is (open, extend) or None.  The whole primer lies in the region;
     the leftmost end wins a tie, then the leftmost begin.
     """
-    n, width = codes.shape
+    width, n = codes.shape
     low = np.float32(-1e6)
-    begin0 = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1))
-    score = np.zeros((n, width + 1), dtype=np.float32)
-    begin = begin0.copy()
+    score = np.zeros((width + 1, n), dtype=np.float32)
+    begin = np.repeat(np.arange(width + 1, dtype=np.int32)[:, None], n, axis=1)
     if gap is None:
         for base in primer:
             moved = np.full_like(score, low)
-            moved[:, 1:] = score[:, :-1] + ((codes & base) != 0)
-            from_ = np.empty_like(begin)
-            from_[:, 1:] = begin[:, :-1]
-            from_[:, 0] = 0
-            score, begin = moved, from_
+            moved[1:] = score[:-1] + ((codes & base) != 0)
+            shifted = np.zeros_like(begin)
+            shifted[1:] = begin[:-1]
+            score, begin = moved, shifted
     else:
         opened, extended = np.float32(gap[0]), np.float32(gap[1])
-        skip = np.full((n, width + 1), low, dtype=np.float32)   # primer base unmatched
+        skip = np.full((width + 1, n), low, dtype=np.float32)   # primer base unmatched
         skip_begin = begin.copy()
         for base in primer:
             hits = ((codes & base) != 0).astype(np.float32)
-            new_skip = np.where(score - opened >= skip - extended,
-                                score - opened, skip - extended)
-            new_skip_begin = np.where(score - opened >= skip - extended, begin, skip_begin)
-            row = new_skip.copy()
-            row_begin = new_skip_begin.copy()
+            fresh = score - opened >= skip - extended
+            row = np.where(fresh, score - opened, skip - extended)
+            row_begin = np.where(fresh, begin, skip_begin)
+            skip, skip_begin = row.copy(), row_begin.copy()
+            diag = score[:-1] + hits
             jump = np.full(n, low, dtype=np.float32)            # read base unmatched
             jump_begin = np.zeros(n, dtype=np.int32)
             for j in range(1, width + 1):
-                diag = score[:, j - 1] + hits[:, j - 1]
-                left_open = row[:, j - 1] - opened
-                keep = jump - extended > left_open
-                jump = np.where(keep, jump - extended, left_open)
-                jump_begin = np.where(keep, jump_begin, row_begin[:, j - 1])
-                best, best_begin = row[:, j], row_begin[:, j]
-                better = jump > best
-                best = np.where(better, jump, best)
-                best_begin = np.where(better, jump_begin, best_begin)
-                better = diag >= best
-                row[:, j] = np.where(better, diag, best)
-                row_begin[:, j] = np.where(better, begin[:, j - 1], best_begin)
+                left = row[j - 1] - opened
+                longer = jump - extended > left
+                jump = np.maximum(jump - extended, left)
+                jump_begin = np.where(longer, jump_begin, row_begin[j - 1])
+                better = jump > row[j]
+                np.copyto(row[j], jump, where=better)
+                np.copyto(row_begin[j], jump_begin, where=better)
+                better = diag[j - 1] >= row[j]
+                np.copyto(row[j], diag[j - 1], where=better)
+                np.copyto(row_begin[j], begin[j - 1], where=better)
             score, begin = row, row_begin
-            skip, skip_begin = new_skip, new_skip_begin
-    inside = np.arange(width + 1)[None, :] <= lengths[:, None]
+    inside = np.arange(width + 1)[:, None] <= lengths[None, :]
     score = np.where(inside, score, low)
-    end = score.argmax(axis=1)
-    rows = np.arange(n)
-    return score[rows, end], begin[rows, end], end
+    end = score.argmax(axis=0)
+    reads = np.arange(n)
+    return score[end, reads], begin[end, reads], end
 
 
 def best_alignment(primers: list[str], gap, max_len: int):
@@ -94,7 +90,7 @@ def best_alignment(primers: list[str], gap, max_len: int):
             if not len(asked):
                 continue
             regions = column.iloc[asked].tolist()
-            codes = _codes(regions, max_len, lookup)
+            codes = np.ascontiguousarray(_codes(regions, max_len, lookup).T)
             lengths = np.array([min(len(r), max_len) for r in regions])
             for ord_, primer in enumerate(masks):
                 score, begin, end = place(codes, lengths, np.array(primer, np.uint8), gap)
