@@ -220,7 +220,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return annotate(slim, network).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and predicted with ``least`` or more."""
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     network = fit(docs.select("doc_id", "text", "lang"))
