@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vdjloom.llm.bits import bit_table, may_hold
 from vdjloom.llm.components import components
 from vdjloom.llm.shared import parts, written
 from vdjloom.llm.words import Words, grams, mix, scan
@@ -274,23 +275,29 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def _gram_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The gram sets of the wanted sets (vid, f1, f2, ...), from the text of the document that names each."""
-    kept = wanted.drop("vid").columns
+    """The gram sets of the wanted sets (vid, f1, f2, ...), from the text of the document that names each.
+
+    A bit table of the wanted names tells the scan which texts may be needed;
+    the others' gram sets are neither made nor shuffled.
+    """
+    table, shift = bit_table(wanted.select(F.xxhash64("vid")))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for batch in batches:
-            for words in scan(batch.column("text")):
-                part = batch.slice(words.first, words.rows)
+            named = may_hold(shared.value, shift, batch.column(2).to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(named))
+            for words in scan(batch.column(1)):
                 g, bounds = gram_sets(words)
                 f1, f2 = _fingerprints(g, bounds)
-                same = np.flatnonzero((f1 == part.column("f1").to_numpy()) & (f2 == part.column("f2").to_numpy()))
-                raw = pa.array([g[bounds[r]:bounds[r + 1]].tobytes() for r in same], pa.binary())
+                raw = pa.array([g[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(same)) for c in ("vid", *kept)), raw], ["vid", *kept, "grams"])
+                    [batch.column(0).slice(words.first, words.rows), pa.array(f1), pa.array(f2), raw], ["vid", "f1", "f2", "grams"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name != "vid")
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("vid"), "text").join(wanted, "vid").select("vid", *kept, "text")
-    return joined.mapInArrow(run, f"vid bigint, {fields}, grams binary")
+    vid = F.col("doc_id").cast("bigint")
+    made = docs.where("doc_id IS NOT NULL").select(vid.alias("vid"), "text", F.xxhash64(vid)).mapInArrow(
+        run, "vid bigint, f1 bigint, f2 bigint, grams binary")
+    return made.join(wanted, ["vid", "f1", "f2"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -16,14 +16,13 @@ shuffle follows the number of hits and not the number of words.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vdjloom.llm.bits import bit_table, may_hold
 from vdjloom.llm.shared import free_name, written
 from vdjloom.llm.words import Words, grams, scan
 
@@ -31,9 +30,6 @@ WINDOW = 10
 GRAM = 5
 KEEP = WINDOW - GRAM + 1
 
-#: Bits of the table of benchmark grams: about 64 for each gram, within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-
 _HITS = T.ArrayType(T.StructType().add("fp", "long").add("size", "integer").add("pos", "integer").add(
     "words", T.ArrayType(T.StringType())).add("at", "integer"))
 
@@ -108,19 +104,6 @@ def _item_grams(benchmark: DataFrame) -> DataFrame:
         run, "item string, fp bigint, size int, words array<string>, at int")
 
 
-def _bit_table(fingerprints: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits set at the benchmark's grams; at most MOST_BITS, however many grams there are."""
-    distinct = fingerprints.select("fp").distinct()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(64 * distinct.count() + 1))))
-    shift = 64 - int(math.log2(bits))
-    slot = F.shiftrightunsigned("fp", shift)
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    words = distinct.groupBy(F.shiftright(slot, 5).cast("int").alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(31).cast("int"))).alias("b")).toArrow()
-    table[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
-    return table, shift
-
-
 def _scan_documents(docs: DataFrame, key: list[Column], table, shift: int, short: list[int]) -> DataFrame:
     """Per row: its key columns, the number of words, and its grams that may be in the benchmark."""
     keyed = docs.select(*key, "text")
@@ -137,9 +120,7 @@ def _scan_documents(docs: DataFrame, key: list[Column], table, shift: int, short
                 bounds = words.bounds()
                 counts[words.first:words.last] = np.diff(bounds)
                 for size, at, fps in _fingerprints(words, short):
-                    slot = fps >> np.uint64(shift)
-                    seen = (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1
-                    for i in np.flatnonzero(seen).tolist():
+                    for i in np.flatnonzero(may_hold(bits, shift, fps)).tolist():
                         pos = int(at[i])
                         row = int(words.row[pos])
                         text, inside = _context(words, bounds, pos, size)
@@ -205,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _overlap(docs: DataFrame, benchmark: DataFrame, key: list[Column]) -> DataFrame:
     items = written(_item_grams(benchmark), "bench-grams")
     short = sorted(-r["size"] for r in items.where("size < 0").select("size").distinct().collect())
-    table, shift = _bit_table(items)
+    table, shift = bit_table(items.select("fp"))
     scanned = _scan_documents(docs, key, table, shift, short)
     scanned = written(scanned.withColumn("rid", F.monotonically_increasing_id()), "doc-grams")
     hits = scanned.where(F.size("hits") > 0).select("rid", F.inline("hits"))
