@@ -19,11 +19,5 @@ _GROUPS = (
 def load() -> dict[str, tuple]:
     found: dict[str, tuple] = {}
     for group in _GROUPS:
-        try:
-            module = import_module(f"vdjloom.catalog.{group}")
-        except ModuleNotFoundError as missing:
-            if missing.name != f"vdjloom.catalog.{group}":
-                raise
-            continue
-        found.update(module.QUERIES)
+        found.update(import_module(f"vdjloom.catalog.{group}").QUERIES)
     return found

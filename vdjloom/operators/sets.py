@@ -48,22 +48,26 @@ def _summarise_values(keyed: DataFrame, keys: list[str]) -> DataFrame:
 
 def unify_consensus(df: DataFrame, set_field: str = "BARCODE", field: str = "SAMPLE"
                     ) -> DataFrame:
-    """Give every read of a set the set's most frequent value of ``field``."""
+    """Give every read of a set the set's most frequent value of ``field``.
+
+    A read without a set keeps its value.
+    """
     cons = field_consensus(df, set_field, field).select("set", "cons")
-    joined = df.withColumn("set", fx.text(F.col(set_field))).join(cons, "set")
-    return joined.withColumn(field, F.array("cons")).select(*df.columns)
+    joined = df.withColumn("set", fx.text(F.col(set_field))).join(cons, "set", "left")
+    return joined.withColumn(field, F.when(F.col("cons").isNull(), F.col(field)).otherwise(
+        F.array("cons"))).select(*df.columns)
 
 
 def unify_delete(df: DataFrame, set_field: str = "BARCODE", field: str = "SAMPLE",
                  keep: str = "pass") -> DataFrame:
-    """Drop the sets in which ``field`` has more than one value."""
+    """Drop the sets in which ``field`` has more than one value; a read without a set fails."""
     require_field(df, set_field, field)
     keyed = df.withColumns({
         "_set": fx.text(F.col(set_field)), "_value": fx.text(F.col(field))})
-    uniform = keyed.groupBy("_set").agg(
+    uniform = keyed.filter(F.col("_set").isNotNull()).groupBy("_set").agg(
         (F.min("_value") == F.max("_value")).alias("_uniform"))
-    flagged = keyed.join(uniform, "_set")
-    out = split_on(flagged, F.col("_uniform"), keep)
+    flagged = keyed.join(uniform, "_set", "left")
+    out = split_on(flagged, F.coalesce("_uniform", F.lit(False)), keep)
     return out.drop("_set", "_value", "_uniform")
 
 
@@ -340,7 +344,7 @@ def align_offset(df: DataFrame, offsets: DataFrame, barcode: str = "BARCODE",
     ``offsets`` has columns (primer, offset).  ``pad`` puts ``offset`` gaps in
     front; ``cut`` drops the bases before the common start.  Both fill the end
     with gaps to the longest read of the set; gaps have quality 0.  A set with
-    a primer that has no offset fails as a whole.
+    a primer that has no offset fails as a whole, and so does a read without a set.
     """
     require_field(df, barcode, primer)
     if mode not in ("pad", "cut"):
@@ -354,10 +358,11 @@ def align_offset(df: DataFrame, offsets: DataFrame, barcode: str = "BARCODE",
         .join(table, "_name", "left")
         .withColumn("_placed", F.greatest(F.length("seq") + F.col("_offset"), F.lit(0)))
     )
-    limits = keyed.groupBy("_set").agg(
+    limits = keyed.filter(F.col("_set").isNotNull()).groupBy("_set").agg(
         F.max("_placed").alias("_width"),
         F.bool_and(F.col("_offset").isNotNull()).alias("_known"))
-    joined = split_on(keyed.join(limits, "_set"), F.col("_known"), keep)
+    joined = split_on(keyed.join(limits, "_set", "left").withColumn(
+        "_known", F.coalesce("_known", F.lit(False))), F.col("_known"), keep)
     ahead = F.greatest(F.col("_offset"), F.lit(0))
     drop = F.greatest(-F.col("_offset"), F.lit(0))
     after = F.col("_width") - F.col("_placed")

@@ -105,13 +105,15 @@ def sort_reads(df: DataFrame, field: str, numeric: bool = False,
 
     With ``max_count`` a ``part`` column is added: parts of at most
     ``max_count`` reads filled in sorted order that never split a value (a
-    value with more reads than that has its own part).
+    value with more reads than that has its own part).  Reads without the field
+    come first and count as one value.
     """
     require_field(df, field)
     key = _as_number(field) if numeric else fx.text(F.col(field))
     keyed = df.withColumn("_key", key)
     if max_count is not None:
-        keyed = keyed.join(_parts(keyed, max_count), "_key")
+        parts = _parts(keyed, max_count).withColumnRenamed("_key", "_part_key")
+        keyed = keyed.join(parts, F.col("_key").eqNullSafe(F.col("_part_key"))).drop("_part_key")
         return keyed.orderBy("part", "_key", "seq_no").drop("_key")
     return keyed.orderBy("_key", "seq_no").drop("_key")
 

@@ -164,6 +164,8 @@ def _parse(data: bytes, offset: int, end: int | None, last: bool, base: int):
     lines = data.split(b"\n")
     complete = len(lines) if last else len(lines) - 1
     count = complete // 4
+    if last and any(x.strip() for x in lines[count * 4:]):
+        raise ValueError(f"FASTQ ends inside a record, {len(data)} bytes after byte {offset}")
     lines = lines[:count * 4]
     if not count:
         return None, 0, last

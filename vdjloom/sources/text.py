@@ -12,7 +12,7 @@ MAX_PRIMER_ROWS = 10_000
 
 def field_of(header: Column, name: str) -> Column:
     """The values of one annotation of a header ``ID|K=V|K=V1,V2``."""
-    parts = F.slice(F.split(header, r"\|"), 2, 10_000)
+    parts = F.slice(F.split(header, r"\|"), F.lit(2), F.size(F.split(header, r"\|")))
     hits = F.filter(parts, lambda p: F.upper(F.substring_index(p, "=", 1)) == name.upper())
     last = F.get(F.slice(hits, -1, 1), F.lit(0))
     return F.when(F.size(hits) > 0, F.split(F.substr(last, F.lit(len(name) + 2)), ","))
@@ -28,7 +28,7 @@ def parse_header(df: DataFrame, fields: list[str], header: str = "header") -> Da
 
 def profile_fields(df: DataFrame, max_records: int = 200, header: str = "header") -> DataFrame:
     """(field, records): annotation names among the first ``max_records`` headers."""
-    parts = F.slice(F.split(header, r"\|"), 2, 10_000)
+    parts = F.slice(F.split(header, r"\|"), F.lit(2), F.size(F.split(header, r"\|")))
     named = F.filter(parts, lambda p: p.contains("="))
     names = F.array_distinct(F.transform(named, lambda p: F.upper(F.trim(
         F.substring_index(p, "=", 1)))))
