@@ -54,3 +54,15 @@ def test_headers_of_many_parts(spark):
     from vdjloom.sources.text import parse_header
     head = "id|" + "|".join(f"K{i}=v{i}" for i in range(12_000))
     assert parse_header(spark.createDataFrame([(head,)], "header string"), ["K11999"]).first()["K11999"] == ["v11999"]
+
+
+def test_collapse_counts_reads_that_share_a_number(spark):
+    from vdjloom.operators.collapse import collapse
+    rows = [(1, "a", "ACGT"), (1, "b", "ACGTA"), (1, "b", "ACGTA"), (1, "c", "ACGT"), (2, "d", "ACNT"), (None, "e", "ACGT")]
+    reads = spark.createDataFrame(rows, "seq_no bigint, read_id string, seq string")
+    for missing in (0, 1):
+        unique = collapse(reads, max_missing=missing).collect()
+        rest = collapse(reads, max_missing=missing, output="duplicate").count()
+        none = collapse(reads, max_missing=missing, output="undetermined").count()
+        assert {r["seq"]: r["DUPCOUNT"] for r in unique} == {"ACGT": ["4" if missing else "3"], "ACGTA": ["2"]}
+        assert len(unique) + rest + none == len(rows)

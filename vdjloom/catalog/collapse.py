@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vdjloom.catalog.common import SCORES, r1, with_reads
+from vdjloom.catalog.common import SCORES, r1, r2, with_reads
 from vdjloom.functions import fields as fx
 from vdjloom.operators import collapse as op
 from vdjloom.operators import split
@@ -110,6 +110,18 @@ UNION ALL SELECT read_id, seq, '1' FROM r1 WHERE contains(seq, 'N')"""),
                                        copy={"SAMPLE": "set"}), "SAMPLE", "DUPCOUNT"),
         None,
     ),
+    "agg11_collapse_both_mates": (
+        lambda s, d: op.collapse(r1(s, d).unionByName(r2(s, d))).select(
+            "seq", fx.text(F.col("DUPCOUNT")).alias("dupcount")),
+        with_reads("SELECT seq, CAST(count(*) AS VARCHAR) AS dupcount FROM reads "
+                   "WHERE NOT contains(seq, 'N') GROUP BY seq"),
+    ),
+    "agg14_duplicates_both_mates": (
+        lambda s, d: op.collapse(r1(s, d).unionByName(r2(s, d)), output="duplicate")
+        .groupBy("seq").agg(F.count("*").alias("reads")),
+        with_reads("SELECT seq, count(*) - 1 AS reads FROM reads "
+                   "WHERE NOT contains(seq, 'N') GROUP BY seq HAVING count(*) > 1"),
+    ),
     "agg11_threshold_after_collapse": (
         lambda s, d: split.split_threshold(
             op.collapse(r1(s, d)), "DUPCOUNT", 2)["atleast"].select(

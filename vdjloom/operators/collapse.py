@@ -10,7 +10,7 @@ compared pair by pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vdjloom.functions import bases, quality
@@ -46,6 +46,7 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
         "_s": scope,
         "_u": F.concat_ws(_SEP, *[F.coalesce(fx.text(F.col(f)), F.lit("")) for f in uniq]),
         "_metric": _metric(df, max_field, min_field),
+        "_no": _number(df),
     }).withColumn("_miss", bases.count_missing(F.col("_s"), MISSING))
     if output == "undetermined":
         return keyed.filter(F.col("_miss") > max_missing).select(*df.columns)
@@ -61,13 +62,15 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
         "_founder", F.col("_first"))
     chosen = _representatives(groups)
     if output == "duplicate":
-        reps = chosen.select(F.col("_rep").alias("seq_no"))
-        return determined.join(reps, "seq_no", "left_anti").select(*df.columns)
+        reps = chosen.select(F.col("_rep").alias("_no"), F.lit(True).alias("_is_rep"))
+        equal = F.row_number().over(Window.partitionBy("_no").orderBy("_no"))
+        return determined.join(reps, "_no", "left").withColumn("_equal", equal).filter(
+            F.col("_is_rep").isNull() | (F.col("_equal") > 1)).select(*df.columns)
     if output != "unique":
         raise ValueError("output must be 'unique', 'duplicate' or 'undetermined'")
 
-    unique = df.drop(*copy, "DUPCOUNT").join(
-        chosen.withColumnRenamed("_rep", "seq_no"), "seq_no")
+    unique = df.withColumn("_no", _number(df)).drop(*copy, "DUPCOUNT").join(
+        chosen.withColumnRenamed("_rep", "_no"), "_no").dropDuplicates(["_no"])
     for field, action in copy.items():
         reduced = _copied(determined, founders, field, action)
         unique = unique.join(reduced, "_founder", "left")
@@ -81,6 +84,19 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
     return unique
 
 
+def _number(df: DataFrame) -> Column:
+    """Input order that tells every read from every other.
+
+    ``seq_no`` repeats when files are read apart and united, or when both mates
+    are in one table; a hash of the whole read then sets them apart.  Only reads
+    that are equal in every column share a number, and any of them will do.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    order = wide(F.coalesce(F.col("seq_no"), F.lit(-1)))
+    own = wide(F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 1))  # below 10^19
+    return (order * F.lit(str(10 ** 19)).cast("decimal(20,0)") + own).cast("decimal(38,0)")
+
+
 def _metric(df: DataFrame, max_field, min_field) -> Column:
     if max_field is not None:
         return fx.number(fx.text(F.col(max_field)))
@@ -98,7 +114,7 @@ def _exact_groups(determined: DataFrame) -> DataFrame:
     fixed width, so both steps are hash aggregates with map-side combine.
     """
     by_metric = determined.groupBy("_s", "_u", "_miss", "_metric").agg(
-        F.count("*").alias("_n"), F.min("seq_no").alias("_no"))
+        F.count("*").alias("_n"), F.min("_no").alias("_no"))
     return by_metric.groupBy("_s", "_u", "_miss").agg(
         F.sum("_n").alias("_n"), F.min("_no").alias("_first"),
         F.max("_metric").alias("_metric"), F.max_by("_no", "_metric").alias("_best"))
@@ -118,13 +134,13 @@ def _representatives(groups: DataFrame) -> DataFrame:
 def _copied(determined: DataFrame, founders: DataFrame, field: str, action: str) -> DataFrame:
     """(_founder, field) reduced over all members of the group."""
     values = determined.select(
-        "_s", "_u", "_miss", "seq_no", F.posexplode(field).alias("_at", "_v"))
+        "_s", "_u", "_miss", "_no", F.posexplode(field).alias("_at", "_v"))
     if action in ("min", "max", "sum"):
         fold = {"min": F.min, "max": F.max, "sum": F.sum}[action]
         part = values.groupBy("_s", "_u").agg(fold(fx.number(F.col("_v"))).alias("_x"))
         return part.join(founders, ["_s", "_u"]).groupBy("_founder").agg(
             F.array(fx.compact(fold("_x"))).alias(field))
-    order = F.struct("_miss", "seq_no", "_at")
+    order = F.struct("_miss", "_no", "_at")
     if action == "set":
         part = values.groupBy("_s", "_u", "_v").agg(F.min(order).alias("_o"))
         seen = part.join(founders, ["_s", "_u"]).groupBy("_founder", "_v").agg(
