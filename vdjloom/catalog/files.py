@@ -116,7 +116,8 @@ QUERIES = {
     ),
     "src4_profile_fields": (
         lambda s, d: text.profile_fields(_header_text(r1(s, d))),
-        "SELECT unnest(['BARCODE', 'SAMPLE', 'PRIMER']) AS field, 200 AS records",
+        with_reads("SELECT field, count(*) AS records FROM r1, "
+                   "(SELECT unnest(['BARCODE', 'SAMPLE', 'PRIMER']) AS field) f GROUP BY field"),
     ),
     "src9_read_primers": (
         _primers,

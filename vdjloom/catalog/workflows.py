@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from vdjloom.catalog.common import r1, r2
 from vdjloom.operators.headers import header_table
+from vdjloom.operators.pairs import pair_reads
 from vdjloom.plans import workflows as plan
 from vdjloom.sources import derived
 
@@ -29,7 +30,7 @@ def _umi(s, d):
 
 
 def _plain(s, d):
-    a, b = r1(s, d), r2(s, d)
+    a, b = pair_reads(r1(s, d), r2(s, d))
     out = plan.paired_plain(a, b, RIGHT, LEFT, alpha=1e-3, max_missing=20)
     return header_table(out, plan.PLAIN_FIELDS)
 

@@ -25,11 +25,14 @@ def split_group(df: DataFrame, field: str) -> DataFrame:
 
 
 def _as_number(field: str) -> Column:
-    return fx.number(fx.text(F.col(field)))
+    """The field as a number: 0 where it is absent or empty; other text stops the run."""
+    written = fx.text(F.col(field))
+    refused = F.raise_error(F.concat(F.lit(f"{field} is no number: "), written)).cast("double")
+    return F.coalesce(fx.number(written), refused)
 
 
 def split_threshold(df: DataFrame, field: str, threshold: float) -> dict[str, DataFrame]:
-    """Two outputs: ``under`` (below the threshold) and ``atleast``."""
+    """Two outputs: ``under`` (below the threshold; an absent field counts as 0) and ``atleast``."""
     require_field(df, field)
     value = _as_number(field)
     return {"under": df.filter(value < threshold), "atleast": df.filter(value >= threshold)}
@@ -39,13 +42,13 @@ def mark_threshold(df: DataFrame, field: str, threshold: float) -> DataFrame:
     """The same split as one DataFrame with a ``part`` column."""
     require_field(df, field)
     value = _as_number(field)
-    return df.filter(value.isNotNull()).withColumn(
+    return df.withColumn(
         "part", F.when(value < threshold, F.lit("under")).otherwise(F.lit("atleast")))
 
 
 # -- sampling ------------------------------------------------------------------
 
-TOP_LIMIT = 1_000_000  # above this a sample is numbered in slots, not sorted in one task
+SLICE = 10_000  # reads of a group that are ranked together, about
 
 
 def _ticket(seed: int) -> Column:
@@ -67,23 +70,27 @@ def sample_reads(df: DataFrame, sizes: list[int], field: str | None = None,
     With ``field`` alone, the sample is drawn from every value of the field;
     with ``values`` too, from the reads that carry one of the values.  Sizes
     above the number of reads give all reads.
+
+    A group is cut into slices of its lottery numbers.  Only slices that reach
+    into the sample are ranked, each by itself, so no task sorts a whole group
+    or sample, whatever their sizes.
     """
     pool = _restrict(df, field, values).withColumn("_ticket", _ticket(seed))
     largest = max(sizes)
-    if field is not None and values is None:
-        pool = pool.withColumn("_group", fx.text(F.col(field)))
-        order = Window.partitionBy("_group").orderBy("_ticket", "read_id")
-        drawn = pool.withColumn("_rank", F.row_number().over(order)).filter(
-            F.col("_rank") <= largest).drop("_group")
-    elif largest > TOP_LIMIT:
-        number = F.conv(F.substring("_ticket", 1, 15), 16, 10).cast("bigint")
-        ranked = ordering.number_rows(pool.withColumn("_draw", number), "_draw", "_row")
-        drawn = ranked.filter(F.col("_row") < largest).withColumn(
-            "_rank", F.col("_row") + 1).drop("_draw", "_row")
-    else:
-        top = pool.orderBy("_ticket", "read_id").limit(largest)
-        order = Window.partitionBy(F.lit(0)).orderBy("_ticket", "read_id")
-        drawn = top.withColumn("_rank", F.row_number().over(order))
+    each = field is not None and values is None
+    group = F.coalesce(F.concat(F.lit("="), fx.text(F.col(field))), F.lit("")) if each else F.lit("")
+    pool = pool.withColumn("_group", group)
+    slices = pool.groupBy("_group").agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
+    draw = F.conv(F.substring("_ticket", 1, 13), 16, 10).cast("bigint").cast("double") / float(16 ** 13)
+    sliced = pool.join(slices, "_group").withColumn("_slice", F.floor(draw * F.col("_slices"))).drop("_slices")
+    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sliced.groupBy("_group", "_slice").agg(F.count("*").alias("_n")).select(
+        "_group", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).filter(
+        F.col("_before") < largest)
+    order = Window.partitionBy("_group", "_slice").orderBy("_ticket", "read_id")
+    drawn = sliced.join(reached, ["_group", "_slice"]).withColumn(
+        "_rank", F.row_number().over(order) + F.col("_before")).filter(F.col("_rank") <= largest).drop(
+        "_group", "_slice", "_before")
     fits = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: F.col("_rank") <= n)
     return drawn.withColumn("sample_size", F.explode(fits)).drop("_ticket", "_rank")
 

@@ -80,9 +80,9 @@ def paired_umi(r1: DataFrame, r2: DataFrame, c_primers: Primers, v_primers: Prim
 
 def paired_plain(r1: DataFrame, r2: DataFrame, v_primers: Primers, c_primers: Primers,
                  min_qual: float = 20, start: int = 4, min_count: int = 2,
-                 max_missing: int = 20, score_error: float = 0.2, check: bool = False,
+                 max_missing: int = 20, score_error: float = 0.2, check: bool = True,
                  **assembly) -> DataFrame:
-    """2 x 250 without UMIs."""
+    """2 x 250 without UMIs; mates without a partner stop the run, pair the reads before."""
     reads = assemble_align(r2, r1, check=check, **assembly).drop(
         "overlap", "overlap_error", "pvalue")
     reads = filter_quality(reads, min_qual)

@@ -194,15 +194,24 @@ def _parse(data: bytes, offset: int, end: int | None, last: bool, base: int):
     return batch, min(used, len(data)), done
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark's own readers would give it."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+
+
 def read_fastq(spark: SparkSession, path: str, fields: list[str] | None = None,
                mate: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """FASTQ reads in the canonical schema, with the full ``header`` kept.
 
-    ``path`` is a file, a folder or a comma-separated list.  ``seq_no`` grows
-    in file order.
+    ``path`` is a file, a folder or a comma-separated list; without a scheme it
+    is in the cluster's default file system.  ``seq_no`` grows in file order.
     """
     spark.dataSource.register(FastqSource)
-    raw = spark.read.format(NAME).option("splitBytes", split_bytes).load(path)
+    whole = ",".join(_qualified(spark, part.strip()) for part in path.split(","))
+    raw = spark.read.format(NAME).option("splitBytes", split_bytes).load(whole)
     reads = parse_header(raw, fields or [])
     if mate is not None:
         reads = reads.withColumn("mate", F.lit(mate).cast("tinyint"))

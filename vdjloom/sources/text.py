@@ -26,14 +26,15 @@ def parse_header(df: DataFrame, fields: list[str], header: str = "header") -> Da
         **{f.upper(): field_of(col, f) for f in fields}})
 
 
-def profile_fields(df: DataFrame, max_records: int = 200, header: str = "header") -> DataFrame:
-    """(field, records): annotation names among the first ``max_records`` headers."""
+def profile_fields(df: DataFrame, max_records: int | None = None, header: str = "header") -> DataFrame:
+    """(field, records): annotation names among all headers, or the ``max_records`` first ones by ``seq_no``."""
     parts = F.slice(F.split(header, r"\|"), F.lit(2), F.size(F.split(header, r"\|")))
     named = F.filter(parts, lambda p: p.contains("="))
     names = F.array_distinct(F.transform(named, lambda p: F.upper(F.trim(
         F.substring_index(p, "=", 1)))))
+    seen = df if max_records is None else df.orderBy("seq_no").limit(max_records)
     return (
-        df.limit(max_records).select(F.explode(names).alias("field"))
+        seen.select(F.explode(names).alias("field"))
         .groupBy("field").agg(F.count("*").alias("records"))
     )
 
