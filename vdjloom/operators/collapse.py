@@ -61,16 +61,16 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
     groups = exact.join(founders, ["_s", "_u"]) if max_missing > 0 else exact.withColumn(
         "_founder", F.col("_first"))
     chosen = _representatives(groups)
+    equal = F.row_number().over(Window.partitionBy("_no").orderBy("_no"))  # reads equal in every column
     if output == "duplicate":
         reps = chosen.select(F.col("_rep").alias("_no"), F.lit(True).alias("_is_rep"))
-        equal = F.row_number().over(Window.partitionBy("_no").orderBy("_no"))
         return determined.join(reps, "_no", "left").withColumn("_equal", equal).filter(
             F.col("_is_rep").isNull() | (F.col("_equal") > 1)).select(*df.columns)
     if output != "unique":
         raise ValueError("output must be 'unique', 'duplicate' or 'undetermined'")
 
     unique = df.withColumn("_no", _number(df)).drop(*copy, "DUPCOUNT").join(
-        chosen.withColumnRenamed("_rep", "_no"), "_no").dropDuplicates(["_no"])
+        chosen.withColumnRenamed("_rep", "_no"), "_no").withColumn("_equal", equal).filter("_equal = 1").drop("_equal")
     for field, action in copy.items():
         reduced = _copied(determined, founders, field, action)
         unique = unique.join(reduced, "_founder", "left")
