@@ -89,8 +89,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     text_crc32 (of those bytes), law ``key``, shard, slot and grown_shard (the
     shard when there is one more).  doc_id and the number of shards decide; a
     null doc_id is a key like any other, so repeated ids stay together.  Slots
-    number a shard's rows without gaps from 0, by hash of the key, then doc_id
-    (null first), checksum and size.  Other columns are ignored.
+    number a shard's rows without gaps from 0, by hash of key, checksum and size
+    (so that rows of one id are numbered in many slices), then by these, null first.  Other columns are ignored.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = _key(F.col("doc_id"))
@@ -99,7 +99,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         key.alias("_key"))
     placed = bind(slim, {"shard": descend(F.col("_key"), layout(shards)).cast("int"),
                          "grown_shard": descend(F.col("_key"), layout(shards + 1)).cast("int"),
-                         "_h": _uniform(F.col("_key"), "slot")}).drop("_key")
+                         "_h": _uniform(F.concat_ws("/", "_key", "text_crc32", "size"), "slot")}).drop("_key")
     placed = written(placed, "placed")
     slices = max(1, placed.count() // (shards * ROWS_PER_SLICE))
     sliced = placed.withColumn("_slice", F.floor(F.col("_h") * slices * (1 - 1e-15)).cast("int"))
