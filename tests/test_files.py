@@ -97,6 +97,8 @@ def test_plan_shapes(spark, sf_dir, tmp_path):
         assert "Python" not in plan
     exploded = _plan(sets.position_counts(reads.withColumn("s", F.element_at("BARCODE", 1)), ["s"]))
     assert "SortAggregate" not in exploded and exploded.count("HashAggregate") == 2
+    # Whole reads move, bases don't: the only exchange lies below the explode.
+    assert exploded.count("Exchange") == 1 and exploded.index("Generate") < exploded.index("Exchange")
     exact = _plan(collapse(reads, uniq=("SAMPLE",)).select("seq"))
     assert "SortAggregate" not in exact
 

@@ -11,7 +11,7 @@ from vdjloom.functions import fields as fx
 from vdjloom.functions import quality
 from vdjloom.functions.durable import checkpoint
 from vdjloom.operators import tiles
-from vdjloom.operators.sets import BASES, call_positions, diversity_rate, position_counts
+from vdjloom.operators.sets import BASES, by_set, call_positions, diversity_rate, position_counts
 from vdjloom.sources.schema import require_field, require_quality
 
 SET_BINS = 50
@@ -28,7 +28,9 @@ def usable_sets(df: DataFrame, set_field: str, min_count: int = 20,
     ).filter((F.col("n") >= min_count) & (F.col("lo") == F.col("hi"))).select("set", "n")
     if max_diversity is None:
         return good
-    spread = position_counts(keyed, ["set"]).groupBy("set").agg(diversity_rate().alias("v"))
+    good = checkpoint(good)
+    spread = position_counts(
+        keyed, ["set"], sets=good.withColumnRenamed("n", "_size")).groupBy("set").agg(diversity_rate().alias("v"))
     return good.join(spread.filter(F.col("v") <= max_diversity).select("set"), "set")
 
 
@@ -37,31 +39,32 @@ def error_counts(df: DataFrame, set_field: str = "BARCODE", min_count: int = 20,
                  max_diversity: float | None = None) -> DataFrame:
     """Number of read bases by (position, score, consensus base, read base, set size).
 
-    Reads are exploded once and counted per (set, position, base, score); the
-    consensus is an aggregate of these counts and meets them again in a join
-    on (set, position), so no set is gathered.  The result is small and
+    The reads of usable sets move once, whole, to their set (see ``by_set``) and
+    are counted there per (set, position, base, score); the consensus is a sum
+    over the few scores and bases of a position.  The result is small and
     bounded by its keys; it is checkpointed and every table derives from it.
     """
     require_quality(df)
     if mode not in ("freq", "qual"):
         raise ValueError("mode must be 'freq' or 'qual'")
-    sets = usable_sets(df, set_field, min_count, max_diversity)
+    sets = checkpoint(usable_sets(df, set_field, min_count, max_diversity)).filter(
+        "set IS NOT NULL").withColumnRenamed("n", "_size")
     cells = F.posexplode(F.arrays_zip(
         F.split(F.upper("seq"), "").alias("base"), F.col("qual").alias("q")))
-    rows = df.select(fx.text(F.col(set_field)).alias("set"), cells.alias("pos", "c")).select(
-        "set", "pos", F.col("c.base").alias("obs"), F.col("c.q").cast("int").alias("q"))
-    counted = rows.groupBy("set", "pos", "obs", "q").agg(F.count("*").alias("k"))
-    counted = counted.join(sets, "set")
-    totals = counted.groupBy("set", "pos").agg(
-        *[F.sum(F.when(F.col("obs") == b, F.col("k")).otherwise(0)).alias(f"n_{b}")
-          for b in BASES],
-        *[F.sum(F.when(F.col("obs") == b, F.col("k") * F.col("q")).otherwise(0)).alias(f"q_{b}")
-          for b in BASES])
-    called = call_positions(totals, min_freq, min_qual, with_quality=mode == "qual").select(
-        "set", "pos", F.col("base").alias("ref"))
-    both = counted.filter(F.col("obs").isin(*BASES)).join(
-        called.filter(F.col("ref") != "N"), ["set", "pos"])
-    return checkpoint(both.groupBy("pos", "q", "ref", "obs", F.col("n").alias("set_n")).agg(
+    counted = by_set(
+        df.select(fx.text(F.col(set_field)).alias("set"), "seq", "qual"), "set",
+        lambda reads: reads.select("set", "_size", cells.alias("pos", "c")).groupBy(
+            "set", F.col("_size").alias("set_n"), "pos", F.col("c.base").alias("obs"),
+            F.col("c.q").cast("int").alias("score")).agg(F.count("*").alias("k")), sets=sets)
+    place = Window.partitionBy("set", "pos")
+    votes = {
+        f"{n}_{b}": F.sum(F.when(F.col("obs") == b, of).otherwise(0)).over(place)
+        for b in BASES for n, of in (("n", F.col("k")), ("q", F.col("k") * F.col("score")))}
+    called = call_positions(
+        counted.withColumns(votes), min_freq, min_qual, with_quality=mode == "qual").filter(
+        F.col("obs").isin(*BASES) & (F.col("base") != "N"))
+    return checkpoint(called.groupBy(
+        "pos", F.col("score").alias("q"), F.col("base").alias("ref"), "obs", "set_n").agg(
         F.sum("k").alias("k")))
 
 

@@ -1,15 +1,17 @@
 """Sets of reads that share an annotation: unify, consensus, diversity, offsets.
 
-No set is ever gathered in one task.  Reads are exploded to positions and
-counted per (set, position) with map-side combine, so a set holding a large
-share of all reads shrinks to one row per position before the shuffle; the
-consensus, the diversity and the error rate of the set all come from these
-counts.
+Reads move once and whole to the partition of their set (``by_set``); there
+they are exploded to positions and counted per (set, position).  No set is held
+in memory, and a set with a large share of all reads is counted where its reads
+lie, so it shrinks to one row per position before it moves.  The consensus, the
+diversity and the error rate of the set all come from these counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vdjloom.functions import fields as fx
@@ -73,27 +75,63 @@ def unify_delete(df: DataFrame, set_field: str = "BARCODE", field: str = "SAMPLE
 
 # -- position counts -----------------------------------------------------------
 
+#: A set is crowded if it has more reads than this, and more than one in so many of all reads.
+CROWDED, CROWDED_SHARE = 100_000, 1_000
+
+
+def by_set(df: DataFrame, key: str, count: Callable[[DataFrame], DataFrame], least: int = 1,
+           sets: DataFrame | None = None) -> DataFrame:
+    """``count(reads)``, an aggregate by ``key`` and more that may explode the reads.
+
+    The reads are shuffled once, as they are, by ``key``; what ``count`` makes
+    of them needs no other shuffle.  Sets below ``least`` reads are dropped
+    before ``count`` sees them; ``sets`` (key, _size; no null) names the only
+    sets that count instead.  A crowded set would be one long task: its reads stay in
+    place and are counted with map-side combine.  Fewer than CROWDED_SHARE sets
+    can be crowded, so their names are broadcast.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_size")) if sets is None else sets
+    total, top = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    limit = max(CROWDED, (total or 0) // CROWDED_SHARE)
+    crowded = (top or 0) > limit
+    large = sizes.filter(F.col("_size") > limit)
+    if sets is not None:
+        whole = df.join(sets.filter(F.col("_size") <= limit).hint("merge"), key)
+        return count(whole).unionByName(count(df.join(F.broadcast(large), key))) if crowded else count(whole)
+    names = F.broadcast(large.select(F.col(key).alias("_large")))
+    same = F.col(key).eqNullSafe(F.col("_large"))
+    whole = (df.join(names, same, "left_anti") if crowded else df).repartition(key)
+    if least > 1:
+        whole = whole.withColumn("_size", F.count("*").over(Window.partitionBy(key))).filter(
+            F.col("_size") >= least).drop("_size")
+    return count(whole).unionByName(count(df.join(names, same, "left_semi"))) if crowded else count(whole)
+
+
 def position_counts(df: DataFrame, keys: list[str], with_quality: bool = False,
                     dependent: bool = False, carried: dict[str, Column] | None = None,
-                    extra: list[Column] | None = None) -> DataFrame:
-    """Base counts per (keys, position).
+                    extra: list[Column] | None = None, least: int = 1,
+                    sets: DataFrame | None = None) -> DataFrame:
+    """Base counts per (keys, position); the first key names the set.
 
     ``n_A..n_T`` reads with the base, ``gaps`` reads with a gap, ``n`` reads
     reaching the position; with quality also ``q_A..q_T`` summed scores (or
     the highest score when the reads are not independent).  ``carried``
     columns travel with the exploded rows for the ``extra`` aggregates.
+    ``least`` and ``sets`` choose the sets, see ``by_set``.
     """
     df = df.select(*keys, "seq", *(["qual"] if with_quality else []),
                    *[c.alias(n) for n, c in (carried or {}).items()])
     kept = [*keys, *(carried or {})]
-    if with_quality:
+
+    def exploded(reads: DataFrame) -> DataFrame:
+        if not with_quality:
+            return reads.select(*kept, F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base"))
         cells = F.posexplode(F.arrays_zip(
             F.split("seq", "").alias("base"), F.col("qual").alias("q")))
-        rows = df.select(*kept, cells.alias("pos", "cell")).select(
+        return reads.select(*kept, cells.alias("pos", "cell")).select(
             *kept, "pos", F.upper("cell.base").alias("base"),
             F.col("cell.q").cast("int").alias("q"))
-    else:
-        rows = df.select(*kept, F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base"))
+
     base = F.col("base")
     aggs = [F.sum((base == b).cast("int")).alias(f"n_{b}") for b in BASES]
     aggs.append(F.sum(base.isin("-", ".").cast("int")).alias("gaps"))
@@ -103,7 +141,8 @@ def position_counts(df: DataFrame, keys: list[str], with_quality: bool = False,
         aggs += [
             F.coalesce(fold(F.when(base == b, F.col("q"))), F.lit(0)).cast("bigint")
             .alias(f"q_{b}") for b in BASES]
-    return rows.groupBy(*keys, "pos").agg(*aggs, *(extra or []))
+    return by_set(df, keys[0], lambda reads: exploded(reads).groupBy(*keys, "pos").agg(
+        *aggs, *(extra or [])), least, sets)
 
 
 def _called() -> Column:
@@ -226,7 +265,7 @@ def build_consensus(
     carried, folds, finals = _numeric_copies(copy or [])
     counts = position_counts(
         keyed, keys, with_quality, dependent, {"seq_no": F.col("seq_no"), **carried},
-        [F.min("seq_no").alias("seq_no"), *folds])
+        [F.min("seq_no").alias("seq_no"), *folds], min_count if keep == "pass" else 1)
     positions = call_positions(counts, min_freq, min_qual, with_quality, dependent)
     kept = F.lit(True) if max_gap is None else F.col("gaps") / F.col("n") <= max_gap
     at_first = F.col("pos") == 0
