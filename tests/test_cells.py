@@ -77,6 +77,31 @@ def test_two_cells_for_one_contig_stop_the_run(spark):
         cells.from_assembler(_fasta(spark), report)
 
 
+def test_tables_of_another_run_are_refused(spark):
+    report = spark.createDataFrame(
+        [("AAA", "B", "V,D,J,C,nt,aa,12.00,elsewhere,97.5,1", "*", "*", "*", 0)], REPORT)
+    with pytest.raises(cells.UnresolvedCells, match="no contig is placed"):
+        cells.from_assembler(_fasta(spark), report)
+    assert cells.from_assembler(_fasta(spark), report, check=False).count() == 0
+
+
+def test_mapping_report_tells_duplicates_from_conflicts(spark):
+    chain = "V,D,J,C,nt,aa,12.00,{},97.5,1"
+    report = spark.createDataFrame(
+        [("AAA", "B", chain.format("c1"), "*", chain.format("c2"), "*", 0)], REPORT)
+    airr = spark.createDataFrame(
+        [("AAA", "c1", 0), ("AAA", "c1", 1), ("BBB", "c2", 2), ("CCC", "c3", 3), ("", "c3", 4), ("CCC", "gone", 5)],
+        "cell_id string, sequence_id string, seq_no bigint")
+    row = cells.mapping_report(_fasta(spark), report, airr).first()
+    assert (row.airr_rows, row.airr_rows_with_cell_id) == (6, 4)
+    assert (row.duplicate_mappings, row.conflicting_mappings) == (2, 1)
+    assert (row.records_written, row.cells) == (2, 2)
+    alone = cells.mapping_report(_fasta(spark), report).first()
+    assert (alone.airr_rows, alone.records_written, alone.duplicate_mappings) == (0, 2, 0)
+    empty = cells.mapping_report(_fasta(spark), report.limit(0)).first()
+    assert (empty.conflicting_mappings, empty.records_written, empty.cells) == (0, 0, 0)
+
+
 def test_validation_keeps_the_first_and_refuses_nothing_left(spark):
     df = spark.createDataFrame(
         [("a", "ACGT", 1), ("a", "GGGG", 2), ("b", "AC T", 3), ("c", "", 4)],

@@ -190,11 +190,12 @@ SELECT read_id AS sequence_id, seq AS sequence, CASE WHEN mapped THEN 'NEW' ELSE
     "sc5_contig_cells": (
         lambda s, d: op.contig_cells(
             _fasta(s, d), _report(s, d), _airr(s, d).withColumn(
-                "cell_id", F.regexp_replace("cell_id", "-1$", ""))).drop("read_count"),
+                "cell_id", F.regexp_replace("cell_id", "-1$", ""))),
         with_reads(_TABLE + """,
-a AS (SELECT read_id AS contig, bc AS cell FROM t WHERE seq_no % 13 <> 0 AND seq_no % 9 <> 0 AND seq_no % 10 <> 0
-      UNION ALL SELECT read_id, bc FROM t WHERE contig IS NOT NULL AND cell IS NOT NULL AND seq_no % 13 <> 0)
-SELECT contig, min(cell) AS cell, count(DISTINCT cell) AS n_cells, count(*) AS mappings FROM a GROUP BY contig"""),
+a AS (SELECT read_id AS contig, bc AS cell, reads FROM t WHERE seq_no % 13 <> 0 AND seq_no % 9 <> 0 AND seq_no % 10 <> 0
+      UNION ALL SELECT read_id, bc, NULL FROM t WHERE contig IS NOT NULL AND cell IS NOT NULL AND seq_no % 13 <> 0)
+SELECT contig, min(cell) AS cell, count(DISTINCT cell) AS n_cells, count(*) AS mappings,
+       max(reads) AS read_count FROM a GROUP BY contig"""),
     ),
     "sc5_assembler_report": (
         lambda s, d: op.assembler_report(_fasta(s, d), _report(s, d)),
@@ -206,6 +207,20 @@ SELECT count(*) FILTER (seq_no % 10 <> 0 AND seq_no % 9 <> 0 AND seq_no % 13 <>
        count(*) FILTER (seq_no % 13 <> 0 AND (seq_no % 10 = 0 OR seq_no % 9 = 0)) AS contigs_not_in_cell_report,
        count(*) FILTER (seq_no % 13 <> 0 AND seq_no % 10 <> 0 AND seq_no % 9 <> 0) AS contigs_placed FROM r1"""),
     ),
+    "sc10_mapping_report": (
+        lambda s, d: op.mapping_report(
+            _fasta(s, d), _report(s, d), _airr(s, d).withColumn("cell_id", _when(
+                7, 0, F.lit("other"), F.regexp_replace("cell_id", "-1$", "")))),
+        with_reads(_TABLE + """,
+a AS (SELECT read_id AS contig, bc AS cell, 0 AS o FROM t WHERE seq_no % 13 <> 0 AND seq_no % 9 <> 0 AND seq_no % 10 <> 0
+      UNION ALL SELECT read_id, CASE WHEN seq_no % 7 = 0 THEN 'other' ELSE bc END, 1 FROM t
+      WHERE contig IS NOT NULL AND (cell IS NOT NULL OR seq_no % 7 = 0) AND seq_no % 13 <> 0),
+f AS (SELECT *, first(cell) OVER (PARTITION BY contig ORDER BY o) AS held FROM a),
+m AS (SELECT contig, min(held) AS cell, count(*) AS n, count(*) FILTER (cell <> held) AS others FROM f GROUP BY contig)
+SELECT CAST(sum(n - 1 - others) AS BIGINT) AS duplicate_mappings, CAST(sum(others) AS BIGINT) AS conflicting_mappings,
+       count(*) FILTER (others = 0) AS records_written, count(DISTINCT cell) FILTER (others = 0) AS cells,
+       (SELECT count(*) FROM t) AS airr_rows, (SELECT count(*) FROM a WHERE o = 1) AS airr_rows_with_cell_id FROM m"""),
+    ),
     "sc6_strip_annotation_columns": (
         lambda s, d: op.strip_annotation_columns(_table(s, d).select(
             "contig_id", "chain", "v_gene", "productive", "length", F.lit("x").alias("V_Call"))),

@@ -17,6 +17,16 @@ k AS (SELECT barcode, pos, CASE WHEN called = 0 OR top / called < 0.6 THEN 'N' W
 b AS (SELECT e.*, ref FROM e JOIN k ON e.barcode = k.barcode AND e.pos = k.pos
       WHERE ref <> 'N' AND obs <> 'N')"""
 
+# The same with the consensus called from summed scores.
+_QUAL_CELLS = _CELLS.replace(" AS n_t FROM e", """ AS n_t,
+        coalesce(sum(q) FILTER (obs = 'A'), 0) AS q_a, coalesce(sum(q) FILTER (obs = 'C'), 0) AS q_c,
+        coalesce(sum(q) FILTER (obs = 'G'), 0) AS q_g, coalesce(sum(q) FILTER (obs = 'T'), 0) AS q_t FROM e""").replace(
+    "greatest(n_a, n_c, n_g, n_t) AS top", "greatest(q_a, q_c, q_g, q_t) AS top").replace(
+    "CASE WHEN called = 0 OR top / called < 0.6 THEN 'N' WHEN n_a = top THEN 'A'",
+    """CASE WHEN called = 0 OR 2 * top <= q_a + q_c + q_g + q_t OR CASE WHEN q_a = top THEN n_a WHEN q_c = top THEN n_c
+          WHEN q_g = top THEN n_g ELSE n_t END / called < 0.6 THEN 'N' WHEN q_a = top THEN 'A'""").replace(
+    "WHEN n_c = top THEN 'C' WHEN n_g = top", "WHEN q_c = top THEN 'C' WHEN q_g = top")
+
 
 def _rates(key: str, source: str) -> str:
     err = "CASE WHEN mismatch = 0 THEN 1e-9 ELSE mismatch / total END"
@@ -108,7 +118,8 @@ SELECT name, round(m / t, 6) AS error FROM a CROSS JOIN
     "agg15_error_position_qual": (
         lambda s, d: op.error_profile(r1(s, d), min_count=5, mode="qual")["position"].select(
             "position", "mismatch", "total"),
-        None,
+        with_reads(_QUAL_CELLS + """
+SELECT pos AS position, count(*) FILTER (ref <> obs) AS mismatch, count(*) AS total FROM b GROUP BY pos"""),
     ),
     "agg16_set_distance_hist": (
         lambda s, d: op.set_distance_hist(r1(s, d), min_count=5),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vdjloom.functions import fields as fx
+from vdjloom.functions.durable import checkpoint
 from vdjloom.operators.filters import first_by_id, valid_sequence
 from vdjloom.sources.text import first_present
 
@@ -227,13 +228,9 @@ def _chain_contigs(report: DataFrame, ids: DataFrame) -> DataFrame:
         fx.to_int(F.get("tokens", F.col("at") - 1)).alias("reads"))
 
 
-def contig_cells(annot: DataFrame, report: DataFrame | None = None,
-                 airr: DataFrame | None = None) -> DataFrame:
-    """(contig, cell, n_cells, mappings, read_count) over all sources.
-
-    Rows that agree are duplicates; the first read count given for the contig
-    is kept.  ``n_cells`` above 1 is a conflict.
-    """
+def _mappings(annot: DataFrame, report: DataFrame | None, airr: DataFrame | None) -> DataFrame:
+    """(contig, cell, n_cells, mappings, read_count, others): ``others`` counts the
+    mappings to another cell than the first one given."""
     if report is None and airr is None:
         raise ValueError("give a barcode report or an AIRR table")
     ids = annot.select("sequence_id").distinct()
@@ -243,31 +240,53 @@ def contig_cells(annot: DataFrame, report: DataFrame | None = None,
             "contig", "cell", "reads", F.struct(F.lit(0).alias("source"), F.col(
                 "place.seq_no").alias("row"), F.col("place._at").alias("at")).alias("order")))
     if airr is not None:
-        rows = airr.select(
-            first_present(airr, ["sequence_id"]).alias("contig"),
-            first_present(airr, ["cell_id"]).alias("cell"), F.lit(None).cast("bigint").alias("reads"),
-            F.struct(F.lit(1).alias("source"), F.col("seq_no").alias("row"),
-                     F.lit(0).alias("at")).alias("order"))
-        found.append(rows.filter("contig IS NOT NULL AND cell IS NOT NULL").join(
-            ids.withColumnRenamed("sequence_id", "contig"), "contig", "left_semi"))
+        rows = _airr_cells(airr).select("contig", "cell", F.lit(None).cast("bigint").alias("reads"), F.struct(
+            F.lit(1).alias("source"), F.col("seq_no").alias("row"), F.lit(0).alias("at")).alias("order"))
+        found.append(rows.join(ids.withColumnRenamed("sequence_id", "contig"), "contig", "left_semi"))
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return every.groupBy("contig").agg(
-        F.min_by("cell", "order").alias("cell"),
-        F.count_distinct("cell").alias("n_cells"), F.count("*").alias("mappings"),
-        F.min_by("reads", F.when(F.col("reads").isNotNull(), F.col("order"))).alias("read_count"))
+    by_cell = every.groupBy("contig", "cell").agg(
+        F.count("*").alias("k"), F.min("order").alias("order"),
+        F.min(F.when(F.col("reads").isNotNull(), F.struct("order", "reads"))).alias("read"))
+    return by_cell.groupBy("contig").agg(
+        F.min_by("cell", "order").alias("cell"), F.count("*").alias("n_cells"),
+        F.sum("k").alias("mappings"), F.min("read")["reads"].alias("read_count"),
+        (F.sum("k") - F.min_by("k", "order")).alias("others"))
+
+
+def _airr_cells(airr: DataFrame) -> DataFrame:
+    return airr.select(
+        first_present(airr, ["sequence_id"]).alias("contig"),
+        first_present(airr, ["cell_id"]).alias("cell"), "seq_no").filter(
+        "contig IS NOT NULL AND cell IS NOT NULL")
+
+
+def contig_cells(annot: DataFrame, report: DataFrame | None = None,
+                 airr: DataFrame | None = None) -> DataFrame:
+    """(contig, cell, n_cells, mappings, read_count) over all sources.
+
+    Rows that agree are duplicates; the first read count given for the contig
+    is kept.  ``n_cells`` above 1 is a conflict.
+    """
+    return _mappings(annot, report, airr).drop("others")
 
 
 def from_assembler(annot: DataFrame, report: DataFrame | None = None,
                    airr: DataFrame | None = None, check: bool = True) -> DataFrame:
-    """Records from assembled contigs; a contig of two cells stops the run and
-    contigs of no cell are left out."""
+    """Records from assembled contigs.
+
+    Contigs of no cell are left out.  With ``check``, a contig of two cells
+    stops the run, and so does a source that places no contig at all.
+    """
     cells = contig_cells(annot, report, airr)
     if check:
+        cells = checkpoint(cells)
         torn = cells.filter("n_cells > 1")
         names = [r[0] for r in torn.select("contig").limit(5).collect()]
         if names:
             raise UnresolvedCells(
                 f"{torn.count()} contigs belong to more than one cell, e.g. {names}")
+        if cells.isEmpty():
+            raise UnresolvedCells("no contig is placed in a cell; are the tables of one run?")
     seqs = annot.groupBy("sequence_id").agg(
         F.max_by("sequence", "seq_no").alias("sequence"), F.min("seq_no").alias("seq_no"))
     rows = seqs.join(cells, seqs["sequence_id"] == cells["contig"])
@@ -276,8 +295,33 @@ def from_assembler(annot: DataFrame, report: DataFrame | None = None,
         F.col("read_count").cast("string")), "seq_no")
 
 
+def mapping_report(annot: DataFrame, report: DataFrame | None = None,
+                   airr: DataFrame | None = None) -> DataFrame:
+    """One row of counts over the mappings of contigs to cells from all sources.
+
+    A mapping after a contig's first one is a duplicate if it names the same
+    cell, else a conflict; records and cells are those of contigs without one.
+    """
+    clear = F.col("others") == 0
+    counts = _mappings(annot, report, airr).agg(
+        F.coalesce(F.sum(F.col("mappings") - 1 - F.col("others")), F.lit(0)).alias("duplicate_mappings"),
+        F.coalesce(F.sum("others"), F.lit(0)).alias("conflicting_mappings"),
+        F.count_if(clear).alias("records_written"),
+        F.count_distinct(F.when(clear, F.col("cell"))).alias("cells"))
+    if airr is None:
+        return counts.withColumns({
+            "airr_rows": F.lit(0).cast("bigint"), "airr_rows_with_cell_id": F.lit(0).cast("bigint")})
+    known = annot.select(F.col("sequence_id").alias("contig")).distinct()
+    rows = airr.agg(F.count("*").alias("airr_rows"))
+    placed = _airr_cells(airr).join(known, "contig", "left_semi").agg(
+        F.count("*").alias("airr_rows_with_cell_id"))
+    one = F.lit(1).alias("_one")
+    return counts.select("*", one).join(rows.select("*", one), "_one").join(
+        placed.select("*", one), "_one").drop("_one")
+
+
 def assembler_report(annot: DataFrame, report: DataFrame) -> DataFrame:
-    """One row of counts over a barcode report."""
+    """One row of counts over a barcode report; see ``mapping_report`` for all sources."""
     ids = annot.select("sequence_id").distinct()
     chains = _chain_contigs(report, ids).agg(
         F.count_if(F.col("contig").isNotNull()).alias("report_chain_fields_parsed"),
