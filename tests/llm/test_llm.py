@@ -359,6 +359,17 @@ def test_near_duplicates(spark, docs, texts, monkeypatch):
     assert kept.columns == table.columns and kept.count() == len({c for c, _ in got.values()})
 
 
+def test_exact_ties_link(spark):
+    ties = [(12, 15), (36, 45), (44, 55), (96, 120)]
+    rows = []
+    for k, (common, union) in enumerate(ties):  # a text of so many grams and its own beginning, at 0.8 exactly
+        w = [f"t{k}x{i}" for i in range(union + 4)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:common + 4]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosenpath.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == classes(rows) == {d: (d // 10 * 10, 1) for d, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = Counter(tuple(r) for r in chosenpath.near_duplicates(odd).collect())
     assert got == Counter({(1, 1, 0): 1, (2, 2, 0): 1, (3, 3, 1): 1, (4, 3, 1): 1, (None, None, 0): 1, (5, 5, 1): 2, (6, 6, 0): 1, (7, 7, 0): 1, (8, 8, 0): 1})

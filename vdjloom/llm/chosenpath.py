@@ -252,7 +252,7 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         common = _overlaps(sets, left, right)
-        near = common * (1 + threshold) >= threshold * (n[left][:, None] + n[right][None]) - 1e-6
+        near = common.astype(np.float64) * (1 + threshold) >= threshold * (n[left][:, None] + n[right][None]) - 1e-6
         near &= left[:, None] != right[None]
         links = np.zeros(len(vid), np.int64)
         links[left] += near @ times[right]
