@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +305,20 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        for k, (width, mark) in enumerate(((72, ""), (30, ""), (72, "# "), (72, "dnl "))):
+            notice = "\n".join(mark + x for x in textwrap.wrap(text, width))
+            rows.append((len(rows), f"{'before ' * 300}\n{notice} and {'after ' * 300}"))
+            want[len(rows) - 1] = name
+        rows.append((len(rows), " ".join(w + " apart" * 40 + "\n" for w in text.split())))  # the words, but no notice
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, r in got.items():
+        found = {x for x in r["labels"].split(",") if x in licenses.TEMPLATES}
+        assert found == ({want[i]} if i in want else set()) and r["score"] == (1.0 if i in want else 0.0)
+
+
 # 9: near duplicates
 
 def classes(rows, threshold=0.8):

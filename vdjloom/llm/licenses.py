@@ -1,7 +1,10 @@
 """License scans: phrases, and templates found by an exact set-similarity join.
 
-A text block (line) holds a template if it has at least ``threshold`` of the
-template's words.  Words are ordered by how often they occur in all texts,
+A text block holds a template if it has at least ``threshold`` of the
+template's words.  Blocks are the lines, and for wrapped notices the windows of
+SPAN times as many consecutive words as the template has, wherever lines break.
+Only texts that as a whole pass the filters below are looked at by window.
+Words are ordered by how often they occur in all texts,
 rarest first.  A block that meets the threshold shares a word with the
 template's prefix, so only blocks with such a word are joined (prefix filter);
 a pair goes on if the block has enough words (length filter) and enough words
@@ -43,6 +46,8 @@ TEMPLATES = {
 }
 
 THRESHOLD = 0.9
+#: Words of a window for each word of the template: room for what comment marks and edits add to a wrapped notice.
+SPAN = 2
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,8 +62,12 @@ def _words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD + "+")).cast("bigint")
 
 
+def _sequence(template: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.translate(str.maketrans(_UPPER, _LOWER)))
+
+
 def _tokens(template: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.translate(str.maketrans(_UPPER, _LOWER)))))
+    return sorted(set(_sequence(template)))
 
 
 def phrases(docs: DataFrame, named: Mapping[str, str] = PHRASES) -> DataFrame:
@@ -92,7 +101,7 @@ def _order(docs: DataFrame, universe: list[str]) -> list[str]:
 
 
 def containing(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Template matches of the lines of ``docs`` (key, text): key, template, containment."""
+    """Template matches of the lines and word windows of ``docs`` (key, text): key, template, containment."""
     spark = docs.sparkSession
     sets = {name: t for name, text in templates.items() if (t := _tokens(text))}
     order = _order(docs, sorted(set().union(*sets.values())))
@@ -104,28 +113,39 @@ def containing(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresh
         for i, r in enumerate(ranks[:len(ranks) - need + 1]):
             prefixes.add(order[r])
             rows.append(F.struct(F.lit(name).alias("template"), F.lit(r).alias("r"), F.lit(i).alias("i"),
-                                 F.lit(ranks).alias("t"), F.lit(need).alias("need")))
+                                 F.lit(ranks).alias("t"), F.lit(need).alias("need"),
+                                 F.lit(SPAN * len(_sequence(templates[name]))).alias("span")))
     prefix = spark.range(1).select(F.inline(F.array(*rows)))
     seen = rf"(?<!{_WORD})(?i:{'|'.join(sorted(prefixes))})(?!{_WORD})"
     quick = F.lit(False)
     for w in sorted(prefixes):
         quick = quick | F.lower("text").contains(w)
-    lines = (
-        docs.where(quick).where(F.col("text").rlike(seen)).select("key", F.explode(F.split("text", "\n")).alias("line"))
-        .where(F.col("line").rlike(seen)))
+    near = docs.where(quick).where(F.col("text").rlike(seen))
+    lines = near.select("key", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(seen))
     ranks_of = F.map_from_arrays(F.lit(order), F.lit(list(range(len(order)))))
-    mine = F.array_sort(F.array_compact(F.transform(
-        F.array_distinct(F.split(F.translate("line", _UPPER, _LOWER), _GAP)), lambda w: F.element_at(ranks_of, w))))
-    blocks = bind(lines, {"b": mine}).drop("line")
-    n, m = F.size("b"), F.size("t")
-    pairs = (
-        blocks.select("key", "b", F.posexplode("b").alias("j", "r"))
-        .join(prefix, "r")  # the templates' prefixes: a few rows that the caller names
-        .where((n >= F.col("need")) & (F.lit(1) + F.least(m - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need"))))
-    shared = F.size(F.array_intersect("b", "t"))
-    return (
-        pairs.where(shared >= F.col("need")).select("key", "template", (shared / m).alias("containment"))
-        .groupBy("key", "template").agg(F.max("containment").alias("containment")))
+    split = lambda text: F.split(F.translate(text, _UPPER, _LOWER), _GAP)
+    rank_in = lambda w: F.element_at(ranks_of, w)
+
+    def pairs(blocks: DataFrame) -> DataFrame:
+        n, m = F.size("b"), F.size("t")
+        return (
+            blocks.select(*blocks.columns, F.posexplode("b").alias("j", "r"))
+            .join(prefix, "r")  # the templates' prefixes: a few rows that the caller names
+            .where((n >= F.col("need")) & (F.lit(1) + F.least(m - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need")))
+            .where(F.size(F.array_intersect("b", "t")) >= F.col("need")))
+
+    mine = F.array_sort(F.array_compact(F.transform(F.array_distinct(split("line")), rank_in)))
+    of_lines = pairs(bind(lines, {"b": mine}).drop("line")).select(
+        "key", "template", (F.size(F.array_intersect("b", "t")) / F.size("t")).alias("containment"))
+    # A text that lacks the words as a whole has no window with them; it is taken once, at the first shared word.
+    all_words = F.array_sort(F.transform(F.array_intersect(split("text"), F.lit(order)), rank_in))
+    first = F.get(F.array_intersect("b", "t"), F.lit(0))
+    whole = bind(pairs(bind(near, {"b": all_words})).where(first == F.col("r")), {"w": F.transform(split("text"), rank_in)})
+    window = lambda p: F.size(F.array_intersect(F.slice("w", p, F.col("span")), "t"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda p: F.array_contains("t", F.get("w", p - 1)))
+    of_windows = bind(whole, {"best": F.array_max(F.transform(starts, window))}).where("best >= need").select(
+        "key", "template", (F.col("best") / F.size("t")).alias("containment"))
+    return of_lines.unionByName(of_windows).groupBy("key", "template").agg(F.max("containment").alias("containment"))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,7 +153,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word
     (their smallest and largest start; null without one), base_labels, labels
-    (with the names of the templates a line holds) and score: 1 with a phrase,
+    (with the names of the templates a block holds) and score: 1 with a phrase,
     else the largest share of a template found, else 0.  Null text counts as
     empty; equal texts get equal results, whatever their ids; other columns are
     ignored.
