@@ -128,6 +128,18 @@ def test_pairs_of_terms_matter():
     assert m.factor[m.slot[5]] @ m.factor[m.slot[9]] > 0.5
 
 
+def test_a_term_that_matters_only_with_another():
+    rng = np.random.default_rng(2)
+    group, insult, other = (rng.random(toxicity.SAMPLE) < 0.2 for _ in range(3))
+    label = np.where(group, insult, other)  # the group is toxic as often as the rest, but by the insult
+    base = label.mean()
+    assert abs(label[group].sum() - group.sum() * base) < toxicity.LEAST_Z * math.sqrt(group.sum() * base * (1 - base))
+    lists = [np.array([t for t, x in ((5, p), (9, q), (13, r)) if x] + [100], np.int64) for p, q, r in zip(group, insult, other, strict=True)]
+    m = toxicity.train(lists, label)
+    at = lambda *t: m.score(np.zeros(len(t), int), np.array(sorted(t)), 1)[0]
+    assert at(5, 9, 100) > 0.7 and max(at(5, 100), at(9, 100), at(100)) < 0.3
+
+
 def test_language(spark, sf_dir):
     big = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     out = langid.identify(big).join(big.select("doc_id", "lang"), "doc_id").toPandas()

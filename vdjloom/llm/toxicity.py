@@ -25,10 +25,12 @@ SAMPLE = 16_000
 FACTORS = 8
 #: Bytes of the word beginnings that are terms beside whole words.
 BEGINNINGS = (4, 6)
-#: A term is learned if it is in so many sampled texts, and its share among toxic
-#: texts differs by so many standard deviations.
+#: A term is learned if it is in so many sampled texts; those whose share among toxic
+#: texts differs by so many standard deviations are learned first, the others with them after that.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.05, 1e-3
+#: Rounds with all terms, and the squared gradient the late terms start with: the more, the smaller their steps.
+LATE_EPOCHS, LATE_START = 8, 1e-4
 PREDICT = 0.3
 
 
@@ -76,34 +78,39 @@ def train(lists: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Machine:
     slot = np.full(1 << BITS, -1, np.int32)
     rate = np.clip(label.mean(), 1e-3, 1 - 1e-3) if len(label) else 1e-3
     bias = float(np.log(rate / (1 - rate)))
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     seen = np.bincount(flat, minlength=1 << BITS)
     toxic = np.bincount(flat, weights=label[owner], minlength=1 << BITS)
     spread = np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
-    chosen = np.flatnonzero((seen >= LEAST_TEXTS) & (np.abs(toxic - seen * rate) >= LEAST_Z * spread))
-    slot[chosen] = np.arange(len(chosen))
+    often = seen >= LEAST_TEXTS
+    alone = often & (np.abs(toxic - seen * rate) >= LEAST_Z * spread)
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
-    gw2, gv2, gb2 = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    at = slot[flat]
-    known = at >= 0
-    at, owner = at[known], owner[known]
-    bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
-    for _ in range(EPOCHS if len(chosen) else 0):
-        for part in np.array_split(rng.permutation(len(lists)), max(1, len(lists) // BATCH)):
-            idx = np.concatenate([at[bounds[i]:bounds[i + 1]] for i in part])
-            doc = np.repeat(np.arange(len(part)), bounds[part + 1] - bounds[part])
-            total = np.stack([np.bincount(doc, v[idx, f], len(part)) for f in range(FACTORS)], axis=1)
-            square = np.bincount(doc, (v[idx] ** 2).sum(axis=1), len(part))
-            z = bias + np.bincount(doc, w[idx], len(part)) + 0.5 * ((total ** 2).sum(axis=1) - square)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part)
-            gw = np.bincount(idx, g[doc], len(w)) + DECAY * w / len(w)
-            pull = g[doc][:, None] * (total[doc] - v[idx])
-            gv = np.stack([np.bincount(idx, pull[:, f], len(w)) for f in range(FACTORS)], axis=1) + DECAY * v / len(w)
-            gb = g.sum()
-            gw2, gv2, gb2 = gw2 + gw ** 2, gv2 + gv ** 2, gb2 + gb ** 2
-            w, v, bias = w - RATE * gw / np.sqrt(gw2), v - RATE * gv / np.sqrt(gv2), bias - RATE * gb / np.sqrt(gb2)
+    w, v = np.zeros(0), np.zeros((0, FACTORS))
+    gw2, gv2, gb2 = np.zeros(0), np.zeros((0, FACTORS)), 1e-6
+    for chosen, epochs, start in ((alone, EPOCHS, 1e-6), (often & ~alone, LATE_EPOCHS, LATE_START)):
+        new = np.flatnonzero(chosen)
+        slot[new] = len(w) + np.arange(len(new), dtype=np.int32)
+        w, v = np.r_[w, np.zeros(len(new))], np.r_[v, rng.normal(0, 0.02, (len(new), FACTORS))]
+        gw2, gv2 = np.r_[gw2, np.full(len(new), start)], np.r_[gv2, np.full((len(new), FACTORS), start)]
+        at = slot[flat]
+        known = at >= 0
+        at = at[known]
+        bounds = np.searchsorted(owner[known], np.arange(len(lists) + 1))
+        for _ in range(epochs if len(new) else 0):
+            for part in np.array_split(rng.permutation(len(lists)), max(1, len(lists) // BATCH)):
+                idx = np.concatenate([at[bounds[i]:bounds[i + 1]] for i in part])
+                doc = np.repeat(np.arange(len(part)), bounds[part + 1] - bounds[part])
+                total = np.stack([np.bincount(doc, v[idx, f], len(part)) for f in range(FACTORS)], axis=1)
+                square = np.bincount(doc, (v[idx] ** 2).sum(axis=1), len(part))
+                z = bias + np.bincount(doc, w[idx], len(part)) + 0.5 * ((total ** 2).sum(axis=1) - square)
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part)
+                gw = np.bincount(idx, g[doc], len(w)) + DECAY * w / len(w)
+                pull = g[doc][:, None] * (total[doc] - v[idx])
+                gv = np.stack([np.bincount(idx, pull[:, f], len(w)) for f in range(FACTORS)], axis=1) + DECAY * v / len(w)
+                gb = g.sum()
+                gw2, gv2, gb2 = gw2 + gw ** 2, gv2 + gv ** 2, gb2 + gb ** 2
+                w, v, bias = w - RATE * gw / np.sqrt(gw2), v - RATE * gv / np.sqrt(gv2), bias - RATE * gb / np.sqrt(gb2)
     return Machine(float(bias), slot, w, v)
 
 
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     got = texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         run, "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")
-    lists = [np.asarray(x, np.int64) for x in got["terms"].to_pylist()]
+    lists = [x.values.to_numpy() for x in got["terms"]]
     return train(lists, got["toxic"].to_numpy())
 
 
