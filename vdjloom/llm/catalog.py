@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vdjloom.llm import chosenpath, langid, licenses, mixing, rollup, search, shard, toxicity, warc, winnow
+from vdjloom.llm import (
+    chosenpath, langid, licenses, mixing, prefixtrie, rollup, search, shard, toxicity, warc, winnow,
+)
 
 
 def _table(spark, sf_dir, name):
@@ -20,4 +22,5 @@ QUERIES = {
     "op8_licenses": (lambda s, d: licenses.scan(_table(s, d, "documents")), licenses.SQL),
     "op9_near_duplicates": (lambda s, d: chosenpath.near_duplicates(_table(s, d, "documents")), None),
     "op10_token_counts": (lambda s, d: rollup.token_counts(_table(s, d, "documents")), rollup.SQL),
+    "op12_prefix_trie": (lambda s, d: prefixtrie.trie(_table(s, d, "conversations")), prefixtrie.SQL),
 }
