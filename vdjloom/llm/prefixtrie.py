@@ -119,10 +119,12 @@ def grouped(turns: DataFrame, convs: DataFrame, block: int = BLOCK) -> DataFrame
     same = blocks.select("c", "b", "turns", F.size("turns").alias("n"), end["x"].alias("ex"), end["y"].alias("ey")).groupBy(
         "b", "n", "ex", "ey").agg(F.count("*").alias("k"), F.min("c").alias("m"), F.first("turns").alias("turns"))
     same = written(same.withColumns({"sx": start["qx"], "sy": start["qy"]}), "blocks")
-    # The root has more than one child block but for a single conversation; its siblings need no count.
-    siblings = same.where("b > 0").groupBy("b", "sx", "sy").count().where("count > 1").select("b", "sx", "sy", F.lit(True).alias("split"))
-    marked = same.join(siblings, ["b", "sx", "sy"], "left").withColumn("split", F.col("split").isNotNull() | (F.col("b") == 0))
-    opened = marked.select("k", "m", "split", F.explode("turns").alias("t")).select(
+    # First blocks all hang from the root and are taken apart anyway; they need no look at their siblings.
+    later = same.where("b > 0")
+    siblings = later.groupBy("b", "sx", "sy").count().where("count > 1").select("b", "sx", "sy", F.lit(True).alias("split"))
+    marked = later.join(siblings, ["b", "sx", "sy"], "left").select("k", "m", "turns", F.col("split").isNotNull().alias("split"))
+    opened = marked.unionByName(same.where("b = 0").select("k", "m", "turns", F.lit(True).alias("split"))).select(
+        "k", "m", "split", F.explode("turns").alias("t")).select(
         (F.col("t.p") + 1).alias("depth"), "t.x", "t.y", "t.qx", "t.qy", "k", "m", "t.w", "split")
     refined = opened.where("split").groupBy(_KEY).agg(
         F.min("qx").alias("qx"), F.min("qy").alias("qy"), F.sum("k").alias("k"), F.min("m").alias("m"), F.min("w").alias("w"))
