@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vdjloom.llm import (
-    chosenpath, hardneg, langid, licenses, mixing, prefixtrie, rollup, search, shard, toxicity, warc, winnow,
+    chosenpath, hardneg, langid, licenses, mixing, pii, prefixtrie, rollup, search, shard, toxicity, warc, winnow,
 )
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_licenses": (lambda s, d: licenses.scan(_table(s, d, "documents")), licenses.SQL),
     "op9_near_duplicates": (lambda s, d: chosenpath.near_duplicates(_table(s, d, "documents")), None),
     "op10_token_counts": (lambda s, d: rollup.token_counts(_table(s, d, "documents")), rollup.SQL),
+    "op11_personal_data": (lambda s, d: pii.personal_data(_table(s, d, "documents")), None),
     "op12_prefix_trie": (lambda s, d: prefixtrie.trie(_table(s, d, "conversations")), prefixtrie.SQL),
     "op13_hard_negatives": (lambda s, d: hardneg.hard_negatives(_table(s, d, "embeddings")), hardneg.SQL),
 }
