@@ -90,6 +90,12 @@ SELECT barcode AS read_id, seq, seq_no FROM (
   SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY seq_no) AS rn FROM r1) x
 WHERE rn = 1"""),
     ),
+    "flt8_first_by_id_two_files": (
+        # Both mates number their records alike, as two files do: read 1 and read 2 tie in id and seq_no.
+        lambda s, d: op.first_by_id(r1(s, d).unionByName(derived.mate(s, d, 2)), keep="both").groupBy("read_id").agg(
+            F.count("*").alias("reads"), F.count_if("_pass").alias("firsts")),
+        with_reads("SELECT read_id, count(*) AS reads, 1 AS firsts FROM reads GROUP BY read_id"),
+    ),
     "prm4_revcomp": (
         lambda s, d: derived.mate(s, d, 2).select(
             "read_id", bases.revcomp(F.col("seq")).alias("seq"),

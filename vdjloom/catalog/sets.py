@@ -194,6 +194,22 @@ s AS (SELECT barcode, string_agg(sample, ',' ORDER BY sample) AS sample,
       FROM (SELECT barcode, sample, count(*) AS n FROM r1 GROUP BY barcode, sample) z GROUP BY barcode)
 SELECT g.barcode AS read_id, part, supp, line, primer, primer_freq, sample, sample_count
 FROM g JOIN pm ON g.barcode = pm.barcode JOIN s ON g.barcode = s.barcode"""),
+    ),
+    "agg10_copy_without_set": (
+        lambda s, d: op.build_consensus(
+            r1(s, d).withColumn("BARCODE", F.when(F.col("seq_no") % 10 != 0, F.col("BARCODE"))), min_count=3,
+            copy=[("SAMPLE", "set"), ("PRIMER", "majority")], keep="both",
+        ).select("read_id", "reason", *[fx.text(F.col(f)).alias(f.lower()) for f in ("CONSCOUNT", "SAMPLE", "SAMPLE_COUNT", "PRIMER")]),
+        with_reads("""
+, g AS (SELECT CASE WHEN seq_no % 10 <> 0 THEN barcode END AS b, sample, primer FROM r1),
+n AS (SELECT b, count(*) AS n FROM g GROUP BY b),
+p AS (SELECT b, first(primer ORDER BY n DESC, primer) AS primer FROM (
+        SELECT b, primer, count(*) AS n FROM g GROUP BY b, primer) y GROUP BY b),
+s AS (SELECT b, string_agg(sample, ',' ORDER BY sample) AS sample, string_agg(CAST(n AS VARCHAR), ',' ORDER BY sample) AS sample_count
+      FROM (SELECT b, sample, count(*) AS n FROM g GROUP BY b, sample) z GROUP BY b)
+SELECT n.b AS read_id, CASE WHEN n.b IS NULL THEN 'BARCODE' WHEN n < 3 THEN 'CONSCOUNT' END AS reason,
+       CAST(n AS VARCHAR) AS conscount, sample, sample_count, primer
+FROM n JOIN p ON n.b IS NOT DISTINCT FROM p.b JOIN s ON n.b IS NOT DISTINCT FROM s.b"""),
     ),
     "jn9_align_offset_pad": (
         lambda s, d: _aligned(op.align_offset(r1(s, d), _offsets(s))),

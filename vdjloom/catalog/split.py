@@ -34,6 +34,13 @@ def _recursive(sql: str) -> str:
 
 
 
+def _two_values(spark, sf_dir):
+    """Both mates with a field of several values, which is absent in every seventh read."""
+    both = r1(spark, sf_dir).withColumns({"mate": F.lit(1), "TAG": F.concat("SAMPLE", F.array(F.lit("x")))}).unionByName(
+        r2(spark, sf_dir).withColumns({"mate": F.lit(2), "TAG": F.concat("PRIMER", F.array(F.lit("x")))}))
+    return both.withColumn("TAG", F.when(F.col("seq_no") % 7 != 0, F.col("TAG")))
+
+
 QUERIES = {
     "win1_split_count": (
         lambda s, d: op.split_count(r1(s, d), 1000).select("read_id", "part"),
@@ -119,6 +126,21 @@ ORDER BY md5(concat('5:', read_id)), read_id LIMIT 300"""),
         with_reads("""
 SELECT read_id, seq FROM r1 WHERE sample NOT IN (
   SELECT concat('S', CAST(s_suppkey % 3 AS VARCHAR)) FROM supplier WHERE s_suppkey < 2)"""),
+    ),
+    "jn8_select_both_mates": (
+        # Mate 1 has other values than mate 2 under the same read id.
+        lambda s, d: op.select_reads(
+            _two_values(s, d), "TAG", s.createDataFrame([("S0",), ("IGL",)], "v string")).select("read_id", "mate", "seq"),
+        with_reads("""
+SELECT read_id, mate, seq FROM reads
+WHERE CASE WHEN mate = 1 THEN sample = 'S0' ELSE primer = 'IGL' END AND seq_no % 7 <> 0"""),
+    ),
+    "jn8_select_table_negate": (
+        lambda s, d: op.select_reads(
+            _two_values(s, d), "TAG", s.createDataFrame([("S0",), ("IGL",)], "v string"), negate=True).select("read_id", "mate", "seq"),
+        with_reads("""
+SELECT read_id, mate, seq FROM reads
+WHERE NOT (CASE WHEN mate = 1 THEN sample = 'S0' ELSE primer = 'IGL' END AND seq_no % 7 <> 0)"""),
     ),
     "jn8_select_barcodes": (
         lambda s, d: op.select_reads(

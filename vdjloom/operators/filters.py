@@ -133,13 +133,22 @@ def first_by_id(df: DataFrame, id_col: str = "read_id", order: str = "seq_no",
                 keep: str = "pass") -> DataFrame:
     """Keep the first record of every id in input order.
 
-    The lowest order per id comes from one pre-aggregated hash aggregate, and
-    the flag from a join back on (id, order), so an id shared by very many
-    records never gathers them in one sort.
+    ``order`` repeats when files are read apart and united; among records of one
+    id and order the one with the smallest hash of its columns is first, and of
+    wholly equal records one.  Records without an id count as one id.
+
+    The first per id comes from a pre-aggregated hash aggregate and the flag
+    from a join by the record's hash, so an id shared by very many records never
+    gathers them in one sort.
     """
     require_field(df, id_col, order)
-    firsts = df.groupBy(id_col).agg(F.min(order).alias(order)).withColumn(
-        "_first", F.lit(True))
-    flagged = df.join(firsts, [id_col, order], "left")
-    return split_on(flagged, F.col("_first"), keep).drop("_first").select(
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    numbered = df.withColumn("_own", own)
+    firsts = numbered.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(order, "_own"))["_own"].alias("_own"))
+    same = F.row_number().over(Window.partitionBy("_own", id_col).orderBy("_own"))
+    flagged = numbered.alias("a").join(
+        firsts.alias("b"), (F.col("a._own") == F.col("b._own")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
+        "a.*", F.col("b._own").isNotNull().alias("_match"))
+    flagged = flagged.withColumn("_first", F.col("_match") & (same == 1))
+    return split_on(flagged, F.col("_first"), keep).select(
         *df.columns, *(["_pass"] if keep == "both" else []))

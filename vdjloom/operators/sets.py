@@ -250,6 +250,7 @@ def build_consensus(
     ``primer_freq``) or PRIMER/PRCOUNT and the copied fields are added.
     ``keep="fail"`` returns the failed sets with the rule they broke in
     ``reason``; ``"both"`` returns all sets, ``reason`` NULL when they pass.
+    Reads without a barcode are one failed set, with the reason BARCODE.
     """
     require_field(df, barcode, primer_field, *[f for f, _ in copy or ()])
     with_quality = "qual" in df.columns if use_quality is None else use_quality
@@ -258,6 +259,8 @@ def build_consensus(
     majority = primer_field is not None and primer_freq is not None
     primer = fx.text(F.col(primer_field)) if majority else F.lit("")
     keyed = df.withColumns({"_set": fx.text(F.col(barcode)), "_primer": primer})
+    if keep == "pass":
+        keyed = keyed.filter(F.col("_set").isNotNull())
     keys = ["_set", "_primer"]
 
     # One pass: everything about a set rides on its position counts, and what
@@ -283,7 +286,8 @@ def build_consensus(
     else:
         built = built.withColumn("reason", F.lit(None).cast("string"))
     built = built.withColumn("reason", F.coalesce(
-        "reason", F.when(F.col("_n") < min_count, F.lit("CONSCOUNT"))))
+        F.when(F.col("_set").isNull(), F.lit("BARCODE")), "reason",
+        F.when(F.col("_n") < min_count, F.lit("CONSCOUNT"))))
 
     reason = F.col("reason")
     if max_diversity is not None:
@@ -361,16 +365,22 @@ def _value_table(keyed: DataFrame, field: str) -> DataFrame:
 
 def _attach_values(result, keyed, field, values_name, counts_name) -> DataFrame:
     table = _value_table(keyed, field).select(
-        F.col("_set").alias("read_id"), "_primer", F.col("values").alias(values_name),
+        "_set", F.col("_primer").alias("_of"), F.col("values").alias(values_name),
         F.col("counts").cast("array<string>").alias(counts_name))
-    return result.join(table, ["read_id", "_primer"])
+    return _beside(result, table)
 
 
 def _attach_majority(result, keyed, field) -> DataFrame:
     table = _value_table(keyed, field).select(
-        F.col("_set").alias("read_id"), "_primer", F.array("cons").alias(field),
+        "_set", F.col("_primer").alias("_of"), F.array("cons").alias(field),
         F.array(F.col("freq").cast("string")).alias(f"{field}_FREQ"))
-    return result.join(table, ["read_id", "_primer"])
+    return _beside(result, table)
+
+
+def _beside(result: DataFrame, table: DataFrame) -> DataFrame:
+    """Each set beside its row of ``table``; the reads without a set are one set, reads without a primer one primer."""
+    same = F.col("read_id").eqNullSafe(F.col("_set")) & F.col("_primer").eqNullSafe(F.col("_of"))
+    return result.join(table, same).drop("_set", "_of")
 
 
 # -- alignment of sets by primer offset --------------------------------------------

@@ -193,7 +193,8 @@ def select_reads(df: DataFrame, field: str, values: list[str] | DataFrame,
     """Keep (or drop) reads with any value of ``field`` among ``values``.
 
     ``values`` is a list, or a DataFrame whose first column holds the values;
-    the latter becomes a semi (anti) join on the read's exploded values.
+    the latter becomes a semi (anti) join.  A read without the field has none of
+    the values, so kept and dropped reads together are the input.
     """
     require_field(df, field)
     if not isinstance(values, DataFrame):
@@ -202,10 +203,12 @@ def select_reads(df: DataFrame, field: str, values: list[str] | DataFrame,
             F.lit(False))
         return df.filter(~hit if negate else hit)
     table = values.select(F.col(values.columns[0]).cast("string").alias("_v")).distinct()
-    single = df.filter(F.size(field) <= 1).withColumn("_v", F.get(field, F.lit(0)))
-    many = df.filter(F.size(field) > 1)
-    hits = many.select("read_id", F.explode(field).alias("_v")).join(
-        table, "_v", "left_semi").select("read_id").distinct()
+    several = F.coalesce(F.size(field), F.lit(0)) > 1
+    single = df.filter(~several).withColumn("_v", F.get(field, F.lit(0)))
+    many = df.filter(several)
+    # Whether a read has one of the values depends on its field alone, so the reads need no names.
+    held = many.select(F.col(field).alias("_held")).distinct()
+    hits = held.select("_held", F.explode("_held").alias("_v")).join(table, "_v", "left_semi").select("_held").distinct()
     how = "left_anti" if negate else "left_semi"
     kept = single.join(table, "_v", how).drop("_v").select(*df.columns)
-    return kept.unionByName(many.join(hits, "read_id", how))
+    return kept.unionByName(many.join(hits, F.col(field) == F.col("_held"), how))

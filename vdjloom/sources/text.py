@@ -125,7 +125,7 @@ CHEMISTRIES = {"v2": ((0, 15), (16, 25)), "v3": ((0, 15), (16, 27))}
 
 
 def extract_10x_tags(r1: DataFrame, r2: DataFrame, chemistry: str | tuple = "v2") -> DataFrame:
-    """Cut barcode and UMI out of read 1 and attach them to read 2."""
+    """Cut barcode and UMI out of read 1 and attach them to read 2; an id that occurs twice in read 1 stops the run."""
     ranges = CHEMISTRIES.get(chemistry) if isinstance(chemistry, str) else chemistry
     if ranges is None:
         raise ValueError(f"unknown chemistry {chemistry!r}; use {list(CHEMISTRIES)} or ranges")
@@ -136,7 +136,11 @@ def extract_10x_tags(r1: DataFrame, r2: DataFrame, chemistry: str | tuple = "v2"
     def cut(r):
         return F.array(F.substr("seq", F.lit(r[0] + 1), F.lit(r[1] - r[0] + 1)))
 
-    tags = r1.select("read_id", cut(ranges[0]).alias("BARCODE"), cut(ranges[1]).alias("UMI"))
+    once = r1.groupBy("read_id").agg(F.count("*").alias("_n"), F.min("seq").alias("seq"))
+    message = F.concat(F.lit("a read id occurs more than once in read 1: "), F.col("read_id"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("seq"))
+    tags = once.select("read_id", checked.alias("seq")).select(
+        "read_id", cut(ranges[0]).alias("BARCODE"), cut(ranges[1]).alias("UMI"))
     return r2.drop("BARCODE", "UMI").join(tags, "read_id")
 
 
