@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vdjloom.operators import collapse as module
 from vdjloom.operators.collapse import collapse, count_outputs
 
 
@@ -53,7 +54,7 @@ def _reads(seed, length, missing, count=160):
 
 
 @pytest.mark.parametrize("seed,length,missing,inner", [
-    (1, 24, 1, False), (2, 24, 5, True), (3, 8, 8, False), (4, 5, 3, True), (5, 12, 7, False)])
+    (1, 24, 1, False), (2, 24, 5, True), (3, 8, 8, False), (4, 5, 3, True), (5, 12, 7, False), (6, 30, 20, False)])
 def test_matches_sequential_scan(spark, seed, length, missing, inner):
     rows = _reads(seed, length, missing)
     df = spark.createDataFrame(
@@ -93,3 +94,21 @@ def test_all_copy_actions(spark):
                 "first": ["5"], "last": ["9"], "cat": ["5259"]}
     for action, value in expected.items():
         assert collapse(df, copy={"M": action}).first().M == value, action
+
+
+def test_complete_reads_are_multiplied_by_a_constant(spark, monkeypatch):
+    """However many patterns of missing characters there are, a complete sequence has a fixed number of anchors."""
+    rng = random.Random(5)
+    clean = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(50)]
+    vague = []
+    for s in clean * 12:
+        places = rng.sample(range(40), rng.randrange(1, 9))
+        vague.append("".join("N" if i in places else c for i, c in enumerate(s)))
+    df = spark.createDataFrame([(f"r{i}", s, i) for i, s in enumerate(clean + vague)], "read_id string, seq string, seq_no bigint")
+    made = []
+    keep = module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda d: made.append(keep(d)) or made[-1])
+    assert collapse(df, max_missing=8).count() == 50
+    posted = next(d for d in made if "_cw" in d.columns)
+    assert 0 < posted.count() <= 50 * sum(module.anchor_levels(8)) and sum(module.anchor_levels(8)) == 17
+    assert module.anchor_levels(5) == [2, 6]

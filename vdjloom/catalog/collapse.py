@@ -25,6 +25,34 @@ def _show(df, *fields):
     return df.select("read_id", "seq", *[fx.text(F.col(f)).alias(f.lower()) for f in fields])
 
 
+def _missing_sql(scope: str, group: str, show: str) -> str:
+    """Wildcard collapse of reads with at most one N: complete sequences found their groups, a sequence
+    with an N joins the first it agrees with, and what is left is taken one by one in order."""
+    thirds = "(SELECT unnest([1, 14, 27]) AS t)"
+    masked = "concat(substr({a}.s, 1, {b}.p - 1), 'N', substr({a}.s, {b}.p + 1))"
+    return with_reads(f"""
+, v AS (SELECT *, {scope} AS s, {group} AS u, list_sum({SCORES}) / 40.0 AS m, instr({scope}, 'N') AS p FROM r1),
+e AS (SELECT s, u, p, min(seq_no) AS f FROM v GROUP BY s, u, p),
+h AS (SELECT a.s, a.u, min(c.f) AS g FROM e a JOIN e c ON a.p > 0 AND c.p = 0 AND c.u = a.u AND length(c.s) = length(a.s)
+        AND CASE WHEN a.p > 20 THEN substr(a.s, 1, 20) = substr(c.s, 1, 20) ELSE substr(a.s, 21) = substr(c.s, 21) END
+        AND concat(substr(c.s, 1, a.p - 1), 'N', substr(c.s, a.p + 1)) = a.s GROUP BY a.s, a.u),
+r AS (SELECT e.*, row_number() OVER (ORDER BY e.f) AS k FROM e ANTI JOIN h ON e.s = h.s AND e.u = h.u WHERE e.p > 0),
+d AS (SELECT r.*, t, substr(s, t, 13) AS part FROM r, {thirds} x WHERE p NOT BETWEEN t AND t + 12),
+n AS (SELECT DISTINCT a.k AS a, b.k AS b FROM d a JOIN d b ON a.u = b.u AND a.t = b.t AND a.part = b.part AND a.k < b.k
+      WHERE length(a.s) = length(b.s) AND {masked.format(a='a', b='b')} = {masked.format(a='b', b='a')}),
+x AS (SELECT b AS k, list(a) AS prev, row_number() OVER (ORDER BY b) AS i FROM n GROUP BY b),
+w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS mem UNION ALL
+      SELECT x.i, CASE WHEN len(list_filter(x.prev, lambda q: NOT list_contains(w.mem, q))) > 0 THEN list_append(w.mem, x.k)
+                       ELSE w.mem END FROM w JOIN x ON x.i = w.i + 1),
+l AS (SELECT mem FROM w ORDER BY i DESC LIMIT 1),
+y AS (SELECT r.s, r.u, coalesce(b.f, r.f) AS g FROM r LEFT JOIN x ON x.k = r.k LEFT JOIN r b
+        ON b.k = (SELECT list_min(list_filter(x.prev, lambda q: NOT list_contains(l.mem, q))) FROM l)),
+z AS (SELECT s, u, f AS g FROM e WHERE p = 0 UNION ALL SELECT s, u, g FROM h UNION ALL SELECT s, u, g FROM y),
+j AS (SELECT v.*, z.g, CASE WHEN p > 0 THEN 1 ELSE 0 END AS miss FROM v JOIN z ON v.s = z.s AND v.u = z.u),
+k AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY miss, m DESC, seq_no) AS rn FROM j){show}""").replace(
+        "WITH reads", "WITH RECURSIVE reads", 1)
+
+
 QUERIES = {
     "flagship_unique_consensus": (
         flagship.unique_consensus,
@@ -103,12 +131,15 @@ UNION ALL SELECT read_id, seq, '1' FROM r1 WHERE contains(seq, 'N')"""),
     "agg12_collapse_missing": (
         lambda s, d: _show(op.collapse(r1(s, d), max_missing=1, uniq=("SAMPLE",)),
                            "SAMPLE", "DUPCOUNT"),
-        None,
+        _missing_sql("seq", "sample", "\nSELECT read_id, seq, sample, CAST(n AS VARCHAR) AS dupcount FROM k WHERE rn = 1"),
     ),
     "agg12_collapse_missing_inner": (
         lambda s, d: _show(op.collapse(r1(s, d), max_missing=5, inner=True,
                                        copy={"SAMPLE": "set"}), "SAMPLE", "DUPCOUNT"),
-        None,
+        _missing_sql("trim(seq, 'N')", "''", """,
+o AS (SELECT g, string_agg(sample, ',' ORDER BY o) AS sample FROM (
+        SELECT g, sample, min(miss * 1000000000000000000 + seq_no) AS o FROM k GROUP BY g, sample) q GROUP BY g)
+SELECT k.read_id, k.seq, o.sample, CAST(k.n AS VARCHAR) AS dupcount FROM k JOIN o ON k.g = o.g WHERE rn = 1"""),
     ),
     "agg11_collapse_both_mates": (
         lambda s, d: op.collapse(r1(s, d).unionByName(r2(s, d))).select(

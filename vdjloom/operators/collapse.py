@@ -3,9 +3,10 @@
 Reads are first reduced to distinct (sequence, uniq fields) by hash
 aggregation, because equal sequences always end in the same group.  Complete
 sequences found their groups; a sequence with missing characters joins the
-first group whose founder it agrees with.  The founder is looked up by an equi
-join on the stretches the sequence does know, so no group of sequences is
-compared pair by pair.
+first group whose founder it agrees with.  The founder is looked up in an index
+of anchors, stretches at fixed places: every complete sequence has the same
+small number of them, and a sequence with missing characters probes the rarest
+stretch it knows as a whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from vdjloom.operators.firstfit import first_fit
 from vdjloom.sources.schema import require_field
 
 MISSING = ".-N"
-LOOKUP_BLOCKS = 6
+#: Anchors: a sequence is cut into so many stretches, once for each number.
+ANCHOR_LEVELS = (2, 6)
 RESIDUE_BLOCKS = 8
 _SEP = "\x1f"
 
@@ -55,7 +57,7 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
     exact = _exact_groups(determined)
     if max_missing > 0:
         exact = checkpoint(exact)
-        founders = _founders(exact)
+        founders = _founders(exact, max_missing)
     else:
         founders = exact.select("_s", "_u", F.col("_first").alias("_founder"))
     groups = exact.join(founders, ["_s", "_u"]) if max_missing > 0 else exact.withColumn(
@@ -200,54 +202,58 @@ def _complete(seq: Column, block: Column) -> Column:
     return ~F.substr(seq, block["start"], block["len"]).rlike("[N.-]")
 
 
-def _longest_run(seq: Column) -> Column:
-    """The longest stretch without missing characters, as one (start, len)."""
-    begin = F.struct(F.lit(1).alias("at"), F.lit(1).alias("start"), F.lit(0).alias("len"))
+def anchor_levels(max_missing: int) -> list[int]:
+    """Numbers of stretches that sequences are cut into; by the last one, a stretch is whole whatever is missing."""
+    return [*ANCHOR_LEVELS, *([max_missing + 1] if max_missing >= max(ANCHOR_LEVELS) else [])]
 
-    def step(acc: Column, token: Column) -> Column:
-        longer = F.length(token) > acc["len"]
-        return F.struct(
-            (acc["at"] + F.length(token) + 1).alias("at"),
-            F.when(longer, acc["at"]).otherwise(acc["start"]).alias("start"),
-            F.when(longer, F.length(token)).otherwise(acc["len"]).alias("len"))
 
-    return F.aggregate(F.split(seq, "[N.-]"), begin, step, lambda acc: F.struct(
-        acc["start"].alias("start"), acc["len"].alias("len")))
+def _anchors(seq: Column, levels: list[int], whole: bool) -> Column:
+    """Keys of the stretches of ``seq`` (a row with _u and _len); with ``whole`` of those without missing characters."""
+    keys = []
+    for n in levels:
+        cut = _blocks(F.col("_len"), n)
+        if whole:
+            cut = F.filter(cut, lambda b: _complete(seq, b))
+        keys.append(_named(cut, seq, n))
+    return F.concat(*keys)
 
 
-def _cut(seq: Column, segments: Column) -> Column:
-    return F.array_join(
-        F.transform(segments, lambda b: F.substr(seq, b["start"], b["len"])), "|")
+def _named(cut: Column, seq: Column, level: int) -> Column:
+    return F.transform(cut, lambda b: F.xxhash64(
+        "_u", "_len", F.lit(level), b["start"], F.substr(seq, b["start"], b["len"])))
 
 
-def _founders(exact: DataFrame) -> DataFrame:
+def _founders(exact: DataFrame, max_missing: int) -> DataFrame:
     """(_s, _u, _founder) for every distinct sequence; the founder is named by
     the number of its first read."""
+    exact = exact.withColumn("_len", F.length("_s"))
     clean = exact.filter(F.col("_miss") == 0)
-    vague = exact.filter(F.col("_miss") > 0).withColumn(
-        "_len", F.length("_s")).withColumn("_known", F.filter(
-            _blocks(F.col("_len"), LOOKUP_BLOCKS), lambda b: _complete(F.col("_s"), b)))
-    vague = vague.withColumn("_segments", F.when(
-        F.size("_known") > 0, F.col("_known")).otherwise(F.array(_longest_run(F.col("_s")))))
-    vague = vague.select(
-        "_s", "_u", "_len", "_miss", "_first", "_segments", _words(F.col("_s")).alias("_w"),
-        _cut(F.col("_s"), F.col("_segments")).alias("_key"))
-
-    # Complete sequences are cut along every pattern of known stretches in use.
-    patterns = vague.select("_u", "_len", "_segments").distinct()
-    cut = (
-        clean.withColumn("_len", F.length("_s")).join(patterns, ["_u", "_len"])
-        .select("_u", "_len", "_segments", _cut(F.col("_s"), F.col("_segments")).alias("_key"),
-                F.col("_first").alias("_clean"), _words(F.col("_s")).alias("_cw"))
-    )
+    levels, seq = anchor_levels(max_missing), F.col("_s")
+    known = _anchors(seq, levels[:len(ANCHOR_LEVELS)], whole=True)
+    if len(levels) > len(ANCHOR_LEVELS):
+        known = let(known, lambda keys: F.when(F.size(keys) > 0, keys).otherwise(_anchors(seq, levels[-1:], whole=True)))
+    vague = exact.filter(F.col("_miss") > 0).select(
+        "_s", "_u", "_len", "_miss", "_first", _words(seq).alias("_w"), known.alias("_keys"))
+
+    # Of the complete sequences' anchors, those that some other sequence asks for.
+    asked = vague.select("_s", "_u", F.explode("_keys").alias("_key"))
+    posted = checkpoint(clean.select(
+        "_u", "_len", F.col("_first").alias("_clean"), _words(seq).alias("_cw"),
+        F.explode(_anchors(seq, levels, whole=False)).alias("_key")).join(asked.select("_key").distinct(), "_key"))
+    counts = posted.groupBy("_key").agg(F.count("*").alias("_n"))
+    # A stretch that no complete sequence has is the rarest: the sequence agrees with none.
+    rarest = F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), "_key"))
+    probes = asked.join(counts, "_key", "left").groupBy("_s", "_u").agg(rarest.alias("_key"))
     hits = (
-        vague.join(cut, ["_u", "_len", "_segments", "_key"])
+        vague.drop("_keys").join(probes, ["_s", "_u"]).join(posted, ["_key", "_u", "_len"])
         .filter(_agree(F.col("_w"), F.col("_cw")))
         .groupBy("_s", "_u").agg(F.min("_clean").alias("_founder"))
     )
+    # Nothing known at all: any complete sequence of the length will do.
+    classes = clean.groupBy("_u", "_len").agg(F.min("_first").alias("_founder"))
+    blank = vague.filter(F.size("_keys") == 0).join(classes, ["_u", "_len"]).select("_s", "_u", "_founder")
     resolved = checkpoint(
-        vague.select("_s", "_u", "_len", "_miss", "_first", "_w")
-        .join(hits, ["_s", "_u"], "left"))
+        vague.drop("_keys").join(hits.unionByName(blank), ["_s", "_u"], "left"))
     found = clean.select("_s", "_u", F.col("_first").alias("_founder")).union(
         resolved.filter("_founder IS NOT NULL").select("_s", "_u", "_founder"))
     residue = resolved.filter("_founder IS NULL")
