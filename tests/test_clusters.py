@@ -116,3 +116,39 @@ def test_threshold_keeps_the_mode_offset(spark):
     assert value == pytest.approx((1 + 2) / 8)
     old = errors.distance_threshold(hist, after_mode=True, legacy=True).first()[0]
     assert old == pytest.approx(2 / 8)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y or x == "N"))
+    return row[-1]
+
+
+def _greedy_edits(counts, ident):
+    founders, out = [], {}
+    for seq in sorted(counts, key=lambda s: (-counts[s], s)):
+        near = [f for f in founders if _edits(f, seq) <= floor(min(len(f), len(seq)) * (1 - ident) + 1e-9)]
+        out[seq] = near[0] if near else seq
+        founders += [] if near else [seq]
+    return out
+
+
+@pytest.mark.parametrize("seed,length,ident,ragged", [(11, 8, 0.8, 0), (12, 12, 0.9, 1), (13, 24, 0.85, 3), (14, 40, 0.9, 2), (15, 5, 0.5, 3)])
+def test_barcodes_by_edit_distance(spark, seed, length, ident, ragged):
+    rng = random.Random(seed)
+    codes = _mutants(seed, length, 5, 250, 0.05, ragged)
+    for i in range(0, len(codes), 3):  # lost and gained bases
+        at = rng.randrange(len(codes[i]))
+        codes[i] = codes[i][:at] + (rng.choice("ACGT") if i % 2 else "") + codes[i][at + (i % 2 == 0):]
+    codes = [c for c in codes if c]
+    df = spark.createDataFrame([(f"r{i}", [c]) for i, c in enumerate(codes)], "read_id string, BARCODE array<string>")
+    got = {}
+    for r in clusters.cluster_barcodes(df, ident=ident).collect():
+        got.setdefault(r.CLUSTER[0], set()).add(r.BARCODE[0])
+    wanted = {}
+    for code, founder in _greedy_edits(Counter(codes), ident).items():
+        wanted.setdefault(founder, set()).add(code)
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in wanted.values()}

@@ -3,12 +3,21 @@
 Clustering is greedy by abundance: sequences are taken by falling read count
 (then alphabetically), and each joins the first cluster whose founder it is
 close enough to.  Only distinct sequences are compared.  Two sequences close
-enough must share a key, so comparisons are equi joins (see ``firstfit``):
+enough must share a key, so comparisons are equi joins (see ``firstfit``).
+
+Sequences are compared place by place:
 
 * short equal-length sequences: every way to blank the allowed mismatches; the
   sequences that share such a key are few, whatever the data;
 * otherwise: segments, one more than the allowed mismatches, of which at least
   one must be equal.
+
+Barcodes are compared by edit distance, as a base may be lost or gained:
+
+* short ones: every way to delete up to the allowed number of bases, since two
+  strings within t edits are equal after t deletions in each at most;
+* otherwise: segments, one more than the allowed edits, at their own place and
+  shifted by as many places to either side.
 """
 
 from __future__ import annotations
@@ -47,6 +56,48 @@ def _match(ident: float, length_ratio: float):
     return match
 
 
+def _edit_match(ident: float, length_ratio: float):
+    """Edits are counted against the shorter sequence; a missing base agrees with nothing."""
+    def match(a: Column, b: Column) -> Column:
+        short, long = F.least(a["len"], b["len"]), F.greatest(a["len"], b["len"])
+        edits = F.levenshtein(a["s"], F.translate(b["s"], "N", "n"))
+        near = edits <= F.floor(short * F.lit(1 - ident) + _SLACK)
+        return near & (short >= long * length_ratio) if length_ratio > 0 else near
+    return match
+
+
+def _without_one(seq: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.concat(
+        F.substr(seq, F.lit(1), i - 1), F.substr(seq, i + 1)))
+
+
+def _deletion_keys(seq: Column, edits: int) -> Column:
+    """``seq`` and all that is left of it after up to ``edits`` deletions."""
+    level = keys = F.array(seq)
+    for _ in range(edits):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda s: s != ""), _without_one)))
+        keys = F.concat(keys, level)
+    return F.array_distinct(keys)
+
+
+def _shifted_keys(seq: Column, width: int, edits: int) -> Column:
+    """Segments of ``width`` bases, numbered, each taken at every place within ``edits`` of its own."""
+    def around(s: Column, i: Column) -> Column:
+        starts = F.filter(F.sequence(i * width - edits, i * width + edits), lambda at: (at >= 0) & (at + width <= F.length(s)))
+        return F.transform(starts, lambda at: F.concat_ws(":", i, F.substr(s, at + 1, F.lit(width))))
+
+    return let(seq, lambda s: F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(s) + edits) / width).cast("int")), lambda i: around(s, i)))))
+
+
+def _edit_keys(lengths: list[int], ident: float) -> Column:
+    seq, edits = F.col("seq"), allowed(max(lengths), ident)
+    if sum(comb(max(lengths), k) for k in range(edits + 1)) <= MAX_MASKS:
+        return _deletion_keys(seq, edits)
+    width = min(n // (allowed(n, ident) + 1) for n in lengths)
+    return _shifted_keys(seq, max(width, 1), edits)
+
+
 def _mask_keys(seq: Column, length: int, blanks: int) -> Column:
     keys = []
     for places in combinations(range(length), blanks):
@@ -74,10 +125,11 @@ def _keys(lengths: list[int], ident: float) -> Column:
     return _segment_keys(seq, max(width, 1))
 
 
-def greedy_clusters(distinct: DataFrame, ident: float, length_ratio: float = 0.0) -> DataFrame:
+def greedy_clusters(distinct: DataFrame, ident: float, length_ratio: float = 0.0, edits: bool = False) -> DataFrame:
     """(set, seq, cluster): cluster numbers from 1 within each set.
 
-    ``distinct`` has (set, seq, n) with non-empty, upper-case sequences.
+    ``distinct`` has (set, seq, n) with non-empty, upper-case sequences.  With
+    ``edits`` lost and gained bases count like substitutions.
     """
     if not 0 < ident <= 1:
         raise ValueError("ident must be above 0 and at most 1")
@@ -86,11 +138,11 @@ def greedy_clusters(distinct: DataFrame, ident: float, length_ratio: float = 0.0
     lengths = [r[0] for r in ranked.select(F.length("seq")).distinct().collect()]
     if not lengths:
         return ranked.select("set", "seq", F.lit(None).cast("bigint").alias("cluster"))
-    keys = F.transform(_keys(lengths, ident), lambda k: F.concat_ws("\x1f", F.col("set"), k))
-    items = ranked.select(
-        "rank", keys.alias("keys"),
-        F.struct(bases.pack(F.col("seq")).alias("w"), F.length("seq").alias("len")).alias("data"))
-    fit = first_fit(items, _match(ident, length_ratio))
+    made = (_edit_keys if edits else _keys)(lengths, ident)
+    keys = F.transform(made, lambda k: F.concat_ws("\x1f", F.col("set"), k))
+    shown = F.col("seq").alias("s") if edits else bases.pack(F.col("seq")).alias("w")
+    items = ranked.select("rank", keys.alias("keys"), F.struct(shown, F.length("seq").alias("len")).alias("data"))
+    fit = first_fit(items, (_edit_match if edits else _match)(ident, length_ratio))
     members = checkpoint(ranked.join(fit, "rank").select("set", "seq", "rank", "founder"))
     founders = ordering.number_rows(
         members.filter(F.col("rank") == F.col("founder")).select("set", "founder"),
@@ -103,13 +155,13 @@ def greedy_clusters(distinct: DataFrame, ident: float, length_ratio: float = 0.0
 
 def _attach(df: DataFrame, set_col: Column, seq_col: Column, ident: float,
             length_ratio: float, field: str, prefix: str, keep: str,
-            whole_sets: bool = False) -> DataFrame:
+            whole_sets: bool = False, edits: bool = False) -> DataFrame:
     keyed = df.withColumns({"_set": set_col, "_seq": F.upper(bases.gaps_to_n(seq_col))})
     usable = F.length("_seq") > 0
     clustered = keyed.filter(usable)
     distinct = clustered.groupBy(F.col("_set").alias("set"), F.col("_seq").alias("seq")).agg(
         F.count("*").alias("n"))
-    labels = greedy_clusters(distinct, ident, length_ratio).select(
+    labels = greedy_clusters(distinct, ident, length_ratio, edits).select(
         F.col("set").alias("_set"), F.col("seq").alias("_seq"),
         F.array(F.concat(F.lit(prefix), F.col("cluster").cast("string"))).alias("_label"))
     joined = keyed.join(labels, ["_set", "_seq"], "left")
@@ -125,10 +177,14 @@ def _attach(df: DataFrame, set_col: Column, seq_col: Column, ident: float,
 def cluster_barcodes(df: DataFrame, barcode: str = "BARCODE", ident: float = 0.9,
                      length_ratio: float = 0.0, field: str = "CLUSTER", prefix: str = "",
                      keep: str = "pass") -> DataFrame:
-    """Give reads whose barcodes are alike one value of ``field``."""
+    """Give reads whose barcodes are alike one value of ``field``.
+
+    Two barcodes are alike within (1 - ``ident``) times the shorter one's length
+    edits, rounded down; an edit is a base changed, lost or gained.
+    """
     require_field(df, barcode)
     return _attach(df, F.lit(""), fx.text(F.col(barcode)), ident, length_ratio, field,
-                   prefix, keep)
+                   prefix, keep, edits=True)
 
 
 def _region(start: int, end: int | None) -> Column:
