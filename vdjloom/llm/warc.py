@@ -27,7 +27,8 @@ from vdjloom.llm.shared import new_path, parts, written
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 
-#: Time of the capture with page_id 0; each id is a second later.
+#: Time of the capture with page_id 0; each id is a second later, and after SECONDS (of any sign) it begins again.
+SECONDS = 4_000_000_000
 FIRST_CAPTURE = "2020-01-01 00:00:00"
 RECORDS_PER_FILE = 2_000
 #: Captures that one task merges, about.
@@ -64,7 +65,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     revisit = F.col("held").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("held")) & (F.col("n") >= least)
     at = F.date_format(
         F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE).cast("timestamp_ntz").cast("timestamp"))
-                            + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+                            + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "),
                     F.col("n").cast("string"), F.lit(_CRLF + _CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -227,7 +228,7 @@ k AS (SELECT *, lower(CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://
         THEN array_to_string(list_reverse(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www[.])?([^/?#]*)([^#]*)', 1), '.')), ',')
              || ')' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www[.])?([^/?#]*)([^#]*)', 2)
         ELSE coalesce(url, '') END) AS url_key,
-      strftime(TIMESTAMP '{FIRST_CAPTURE}' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM g)
+      strftime(TIMESTAMP '{FIRST_CAPTURE}' + to_seconds(((coalesce(page_id, 0) % {SECONDS}) + {SECONDS}) % {SECONDS}), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM g)
 SELECT page_id, n::BIGINT AS payload_bytes, concat({_DIGITS}) AS payload_digest,
        CASE WHEN page_id = held OR held IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = held OR held IS NULL THEN NULL ELSE held END AS refers_to,
