@@ -28,6 +28,8 @@ BEGINNINGS = (4, 6)
 #: A term is learned if it is in so many sampled texts; those whose share among toxic
 #: texts differs by so many standard deviations are learned first, the others with them after that.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
+#: Terms of one training text, at most: those with the smallest hashes. Texts that are scored are whole.
+TEXT_TERMS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.05, 1e-3
 #: Rounds with all terms, and the squared gradient the late terms start with: the more, the smaller their steps.
 LATE_EPOCHS, LATE_START = 8, 1e-4
@@ -136,6 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     def run(batches):
         for batch in batches:
             for first, rows, row, term in terms(batch.column(1)):
+                bounds = np.searchsorted(row, np.arange(rows + 1))
+                few = np.arange(len(row)) - bounds[row] < TEXT_TERMS  # terms are hashes, in order within a text
+                row, term = row[few], term[few]
                 bounds = np.searchsorted(row, np.arange(rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, rows), batch.column(2).slice(first, rows),
@@ -143,17 +148,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                     ["doc_id", "toxic", "terms"])
 
     got = texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-        run, "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+        run, "doc_id bigint, toxic int, terms array<int>")
+    # Rows that share an id count once, so that no more than ``sample`` texts reach the driver.
+    got = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("terms"), "toxic", "terms")).alias("t")).select(
+        "doc_id", "t.toxic", "t.terms").toArrow().sort_by("doc_id")
     lists = [x.values.to_numpy() for x in got["terms"]]
     return train(lists, got["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    # Plain arrays: a broadcast class would have to be importable on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.slot, machine.weight, machine.factor))
 
     def run(batches):
-        m = shared.value
+        m = Machine(*shared.value)
         keep = m.slot >= 0
         for batch in batches:
             out = np.zeros(batch.num_rows)
