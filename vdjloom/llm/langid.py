@@ -9,6 +9,7 @@ by length, so every byte of every text has its say.
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Texts that are learned from, for each language at most; windows of each; languages at most, by number of texts.
 PER_LANGUAGE, WINDOWS, LANGUAGES = 1_000, 2, 200
+#: The class of texts in no language.
+NOISE = "\0noise"
 STEPS, BATCH, RATE = 900, 64, 0.01
 #: Windows that are scored together.
 _GROUP = 1_024
@@ -124,10 +127,26 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) ->
     return Network(languages, [a.astype(np.float32) for a in p[:len(WIDTHS)]], *(a.astype(np.float32) for a in p[len(WIDTHS):]))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
+def noise(windows: list[bytes], count: int, seed: int = 9) -> list[bytes]:
+    """``count`` windows of no language: encodings, random bytes, and texts whose bytes are shuffled."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(count):
+        raw = rng.integers(0, 256, WINDOW, dtype=np.uint8).tobytes()
+        text = windows[int(rng.integers(0, len(windows)))]
+        broken = b" ".join(raw[k:k + 16] for k in range(0, WINDOW, 16))
+        kind = i % 8
+        made = (base64.b64encode(raw) if kind == 0 else base64.b32encode(raw) if kind == 1 else raw.hex().encode() if kind == 2
+                else b" ".join(b[:int(n)].hex().encode() for b, n in zip(broken.split(b" "), rng.integers(1, 9, 40), strict=False)) if kind == 3
+                else base64.b85encode(raw) if kind == 4 else (np.frombuffer(raw, np.uint8) % 95 + 32).astype(np.uint8).tobytes() if kind == 5
+                else raw if kind == 6 else rng.permutation(np.frombuffer(text, np.uint8)).tobytes())
+        out.append(made[:WINDOW] if i % 3 else made[:int(rng.integers(20, WINDOW))])
+    return out
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, with_noise: bool = False) -> Network:
     """Learn from at most ``per_language`` texts of each language, chosen by hash of their id.
 
-    Only rows with text, lang and id that are not held out are learned from; of
+    ``with_noise`` adds a last class of that name, learned from made-up windows.  Only rows with text, lang and id that are not held out are learned from; of
     more than LANGUAGES languages, those with the most texts.
     """
     usable = docs.where("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -157,6 +176,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
         for cut in [b for n, b in zip(names, raw, strict=True) if n == name][:per_language * WINDOWS]:
             x.append(np.frombuffer(cut.ljust(WINDOW, b"\0"), np.uint8))
             y.append(i)
+    if with_noise:
+        made = noise(raw, per_language * WINDOWS)
+        x += [np.frombuffer(cut.ljust(WINDOW, b"\0"), np.uint8) for cut in made]
+        y += [len(languages)] * len(made)
+        languages = [*languages, NOISE]
     y = np.array(y)
     # Languages weigh the same: rows of rarer ones are repeated.
     most = np.bincount(y).max()
@@ -169,13 +193,14 @@ def annotate(docs: DataFrame, network: Network, pred: str = "lang_pred", score:
 
     Null texts and texts without a letter are ``und`` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    # Plain arrays: a broadcast class would have to be importable on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((network.languages, network.tables, network.bias, network.out, network.out_bias))
     mark = free_name(docs, "lettered")
     rows = docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     text = rows.columns.index("text")
 
     def run(batches):
-        net = shared.value
+        net = Network(*shared.value)
         pairs = net.pairs()
         for batch in batches:
             data, offsets = flat(batch.column(text))
@@ -220,9 +245,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return annotate(slim, network).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and predicted with ``least`` or more."""
+def known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are in a language.
+
+    A text goes if it is null or has no letter, or if a network that also knows
+    noise (encodings, random and shuffled bytes) holds that more likely than any
+    language, over all of its windows.  Repeated rows and rows without an id are
+    judged alike; an empty table stays empty; with no labelled row every text with a letter stays.
+    """
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    network = fit(docs.select("doc_id", "text", "lang"))
-    return annotate(docs, network, pred, score).where(
-        (F.col(pred) != "und") & (F.col(score) >= least)).select(docs.columns)
+    network = fit(docs.select("doc_id", "text", "lang"), with_noise=True)
+    if NOISE not in network.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return annotate(docs, network, pred, score).where(~F.col(pred).isin("und", NOISE)).select(docs.columns)
