@@ -69,9 +69,10 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return ranked.select("source", "source_size", fair.alias("target"))
 
 
-def _copies(rate: Column, doc_id: Column, seed: str) -> Column:
-    """floor(rate), and one more if the id's hash falls below the fraction."""
-    key = F.concat_ws("/", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def _copies(rate: Column, doc_id: Column, text: Column, seed: str) -> Column:
+    """floor(rate), and one more if the hash of id and text falls below the fraction."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.concat_ws("/", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), own)
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, _HEX), 16, 10).cast("bigint").cast("double") / float(16 ** _HEX)
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
@@ -81,8 +82,9 @@ def plan(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGH
     """Add size, source_size, target and copies to the rows of ``docs`` (doc_id, text, source).
 
     Null text has size 0; null is a source of its own, after all others; a
-    source without words has target 0 and no copies; a null doc_id draws like
-    an id called null, and rows of one id draw alike.  Columns of ``docs`` with
+    source without words has target 0 and no copies; rows draw by
+    id (a null one like an id called null) and text, so only rows that are equal in both
+    draw alike.  Columns of ``docs`` with
     the names of the added ones must be renamed or dropped before.
     """
     sized = docs.withColumn("size", n_words(F.col("text")))
@@ -96,7 +98,7 @@ def plan(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGH
         joined = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))) \
             .drop("_own", "_salt")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("copies", _copies(rate, F.col("doc_id"), seed)).drop("_source")
+    return joined.withColumn("copies", _copies(rate, F.col("doc_id"), F.col("text"), seed)).drop("_source")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -118,7 +120,7 @@ def summary(docs: DataFrame, **settings) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS own, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, 2.0::DOUBLE * sum(size) AS cap
@@ -132,9 +134,9 @@ t AS (
   SELECT source, source_size,
          least(cap, w * coalesce((SELECT min_by(lv, cap / w) FROM r WHERE lv * w <= cap), 'inf'::DOUBLE)) AS target FROM s)
 SELECT doc_id, size, source_size, target,
-       size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE
+       size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null') || '/' || own), 1, 13))::BIGINT::DOUBLE
                                        / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
-FROM (SELECT d.doc_id, d.size, t.source_size, t.target,
+FROM (SELECT d.doc_id, d.own, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source) x
 """
