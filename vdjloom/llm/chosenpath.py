@@ -102,7 +102,7 @@ def _signatures(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2, sig of every row: the size, fingerprint and samples of its gram set."""
+    """doc_id, own (hash of the text), n, f1, f2, sig of every row: the size, fingerprint and samples of its gram set."""
 
     def run(batches):
         for batch in batches:
@@ -113,11 +113,12 @@ def _profile(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, sig.size + 1, ORDERS, dtype=np.int32)), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.first, words.rows), pa.array(np.diff(bounds).astype(np.int64)),
-                     pa.array(f1), pa.array(f2), lists], ["doc_id", "n", "f1", "f2", "sig"])
+                    [batch.column(0).slice(words.first, words.rows), batch.column(2).slice(words.first, words.rows),
+                     pa.array(np.diff(bounds).astype(np.int64)), pa.array(f1), pa.array(f2), lists],
+                    ["doc_id", "own", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig array<int>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(
+        run, "doc_id bigint, own bigint, n bigint, f1 bigint, f2 bigint, sig array<int>")
 
 
 def _children(path: Column, sig: str) -> Column:
@@ -275,12 +276,12 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def _gram_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The gram sets of the wanted sets (vid, f1, f2, ...), from the text of the document that names each.
+    """The gram sets of the wanted sets (vid, first, f1, f2, ...), from the text of the first document of each.
 
     A bit table of the wanted names tells the scan which texts may be needed;
     the others' gram sets are neither made nor shuffled.
     """
-    table, shift = bit_table(wanted.select(F.xxhash64("vid")))
+    table, shift = bit_table(wanted.select(F.xxhash64("first")))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -292,57 +293,83 @@ def _gram_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 f1, f2 = _fingerprints(g, bounds)
                 raw = pa.array([g[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.first, words.rows), pa.array(f1), pa.array(f2), raw], ["vid", "f1", "f2", "grams"])
+                    [batch.column(0).slice(words.first, words.rows), pa.array(f1), pa.array(f2), raw], ["first", "f1", "f2", "grams"])
 
-    vid = F.col("doc_id").cast("bigint")
-    made = docs.where("doc_id IS NOT NULL").select(vid.alias("vid"), "text", F.xxhash64(vid)).mapInArrow(
-        run, "vid bigint, f1 bigint, f2 bigint, grams binary")
-    return made.join(wanted, ["vid", "f1", "f2"])
+    first = F.col("doc_id").cast("bigint")
+    made = docs.where("doc_id IS NOT NULL").select(first.alias("first"), "text", F.xxhash64(first)).mapInArrow(
+        run, "first bigint, f1 bigint, f2 bigint, grams binary")
+    return made.join(wanted, ["first", "f1", "f2"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
+def _classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(profile of every row, the sets f1, f2, n with times, links, class and first, own: the smallest id and its text).
 
-    Two documents are linked if the Jaccard similarity of their 5-word grams is
-    ``threshold`` or more; n_links counts the other documents linked to this
-    one, copies included, and class_id is the smallest doc_id that links lead
-    to.  Null or wordless texts link to nothing, texts of fewer than 5 words to
-    texts of the same words.  Rows that share a doc_id are one document in a
-    class, though each counts as a copy; a null doc_id takes no part: class_id
-    null, no links.  Other columns are ignored.
+    A set is named by a number of its own (vid), not by a document: rows of
+    different texts may share an id.
     """
     profile = written(_profile(docs), "profiles")
     named = profile.where("n > 0 AND doc_id IS NOT NULL")
     sets = written(named.groupBy("f1", "f2", "n").agg(
-        F.min("doc_id").alias("vid"), F.count("*").alias("times"), F.first("sig").alias("sig")), "sets")
+        F.min(F.struct("doc_id", "own")).alias("f"), F.count("*").alias("times"), F.first("sig").alias("sig")).select(
+        F.monotonically_increasing_id().alias("vid"), "f1", "f2", "n", F.col("f.doc_id").alias("first"), "f.own", "times", "sig"), "sets")
     met = buckets(sets.select("vid", "sig"), runs_for(recall, threshold))
     # Three standard deviations of a sketch below the threshold, for pairs at the threshold.
     least = math.floor(ORDERS * (threshold - 3 * math.sqrt(threshold * (1 - threshold) / ORDERS)))
     groups = components(_candidates(met, sets.select("vid", "sig"), least))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = sets.select("vid", "f1", "f2", "times").join(groups.withColumnRenamed("node", "vid"), "vid").join(
-        sizes, "component").select("vid", "f1", "f2", "times", "component", "size")
+    wanted = sets.select("vid", "first", "f1", "f2", "times").join(groups.withColumnRenamed("node", "vid"), "vid").join(
+        sizes, "component").select("vid", "first", "f1", "f2", "times", "component", "size")
     rows = _gram_rows(docs, written(wanted, "wanted")).select("vid", "times", "component", "size", "grams")
     cells = _cells(rows, "component", F.ceil(F.col("size") / GROUP_BLOCK).cast("int")).drop("size")
     linked = written(_links(cells, threshold), "links")
-    classes = components(linked.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-    of_set = (
-        sets.select("f1", "f2", "n", "vid", "times")
-        .join(linked.groupBy("vid").agg(F.sum("links").alias("links")), "vid", "left")
-        .join(classes.withColumnRenamed("node", "vid"), "vid", "left")
-        .select("f1", "f2", "n", F.coalesce("component", "vid").alias("class_id"),
-                (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
+    found = components(linked.select(F.col("vid").alias("a"), F.col("root").alias("b")))
+    return profile, (
+        sets.drop("sig").join(linked.groupBy("vid").agg(F.sum("links").alias("links")), "vid", "left")
+        .join(found.withColumnRenamed("node", "vid"), "vid", "left")
+        .select("f1", "f2", "n", "first", "own", "times", F.coalesce("links", F.lit(0)).alias("links"),
+                F.coalesce("component", "vid").alias("class")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text).
+
+    Two documents are linked if the Jaccard similarity of their 5-word grams is
+    ``threshold`` or more; n_links counts the other documents linked to this
+    one, copies included, and class_id is the smallest doc_id that links lead
+    to.  Null or wordless texts link to nothing, texts of fewer than 5 words to
+    texts of the same words.  Rows that share a doc_id are judged by their own
+    texts, and each counts as a copy; a null doc_id takes no part: class_id
+    null, no links.  Other columns are ignored.
+    """
+    profile, sets = _classes(docs, threshold, recall)
+    sets = written(sets, "classes")
+    smallest = sets.groupBy("class").agg(F.min("first").alias("class_id"))
+    of_set = sets.join(smallest, "class").select(
+        "f1", "f2", "n", "class_id", (F.col("links") + F.col("times") - 1).alias("n_links"))
     alone = profile.where("n = 0 OR doc_id IS NULL").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return named.select("doc_id", "f1", "f2", "n").join(of_set, ["f1", "f2", "n"]).select(
+    return profile.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "f1", "f2", "n").join(of_set, ["f1", "f2", "n"]).select(
         "doc_id", "class_id", "n_links").unionByName(alone)
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The document with the smallest doc_id of every class; rows without a doc_id stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")))))
-    return (
-        named.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_first", first).where("_first = 1")
-        .select(docs.columns).unionByName(docs.where("doc_id IS NULL")))
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of every class: the one with the smallest doc_id, ties by the text's hash; of wholly equal rows one.
+
+    Null and wordless texts are in no class and stay.  Of rows without a doc_id
+    one stays for each text that no row with an id has.
+    """
+    profile, sets = _classes(docs, threshold, recall)
+    kept = sets.groupBy("class").agg(F.min(F.struct("first", "own")).alias("k")).select(
+        F.col("k.first").alias("_id"), F.col("k.own").alias("_text"))
+    held = profile.where("n > 0 AND doc_id IS NOT NULL").select(F.col("own").alias("_text")).distinct()
+    lone = profile.where("n > 0 AND doc_id IS NULL").select(F.col("own").alias("_text")).distinct().join(
+        held, "_text", "left_anti").select(F.lit(None).cast("bigint").alias("_id"), "_text")
+    empty = profile.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("own").alias("_text")).distinct()
+    # The rows as they are, beside names that none of their columns can clash with.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))
+    chosen = packed.join(written(kept.unionByName(lone), "kept"), same)
+    once = F.row_number().over(Window.partitionBy("id", "text").orderBy("id"))
+    return (chosen.withColumn("once", once).where("once = 1").select("row.*")
+            .unionByName(packed.join(empty, same, "left_semi").select("row.*")))
