@@ -26,8 +26,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Texts that are learned from, for each language at most; windows of each; languages at most, by number of texts.
 PER_LANGUAGE, WINDOWS, LANGUAGES = 1_000, 2, 200
-#: The class of texts in no language.
-NOISE = "\0noise"
+#: The class of texts in no language, and the probability from which a text is held to be one.
+NOISE, LEAST_NOISE = "\0noise", 0.97
 STEPS, BATCH, RATE = 900, 64, 0.01
 #: Windows that are scored together.
 _GROUP = 1_024
@@ -139,7 +139,7 @@ def noise(windows: list[bytes], count: int, seed: int = 9) -> list[bytes]:
                 else b" ".join(b[:int(n)].hex().encode() for b, n in zip(broken.split(b" "), rng.integers(1, 9, 40), strict=False)) if kind == 3
                 else base64.b85encode(raw) if kind == 4 else (np.frombuffer(raw, np.uint8) % 95 + 32).astype(np.uint8).tobytes() if kind == 5
                 else raw if kind == 6 else rng.permutation(np.frombuffer(text, np.uint8)).tobytes())
-        out.append(made[:WINDOW] if i % 3 else made[:int(rng.integers(20, WINDOW))])
+        out.append(made[:len(text)])  # as long as texts are, so that length tells nothing
     return out
 
 
@@ -249,12 +249,13 @@ def known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are in a language.
 
     A text goes if it is null or has no letter, or if a network that also knows
-    noise (encodings, random and shuffled bytes) holds that more likely than any
-    language, over all of its windows.  Repeated rows and rows without an id are
+    noise (encodings, random and shuffled bytes) gives that LEAST_NOISE or more
+    over all of its windows; in doubt it stays.  Repeated rows and rows without an id are
     judged alike; an empty table stays empty; with no labelled row every text with a letter stays.
     """
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     network = fit(docs.select("doc_id", "text", "lang"), with_noise=True)
     if NOISE not in network.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return annotate(docs, network, pred, score).where(~F.col(pred).isin("und", NOISE)).select(docs.columns)
+    out = (F.col(pred) == "und") | ((F.col(pred) == NOISE) & (F.col(score) >= LEAST_NOISE))
+    return annotate(docs, network, pred, score).where(~out).select(docs.columns)
