@@ -364,12 +364,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     held = profile.where("n > 0 AND doc_id IS NOT NULL").select(F.col("own").alias("_text")).distinct()
     lone = profile.where("n > 0 AND doc_id IS NULL").select(F.col("own").alias("_text")).distinct().join(
         held, "_text", "left_anti").select(F.lit(None).cast("bigint").alias("_id"), "_text")
-    empty = profile.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("own").alias("_text")).distinct()
     # The rows as they are, beside names that none of their columns can clash with.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))
-    chosen = packed.join(written(kept.unionByName(lone), "kept"), same)
+    wordless = ~F.coalesce(F.col("row.text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    chosen = packed.where(~wordless).join(written(kept.unionByName(lone), "kept"), same)
     once = F.row_number().over(Window.partitionBy("id", "text").orderBy("id"))
     return (chosen.withColumn("once", once).where("once = 1").select("row.*")
-            .unionByName(packed.join(empty, same, "left_semi").select("row.*")))
+            .unionByName(packed.where(wordless).select("row.*")))
