@@ -27,7 +27,7 @@ FILTERS = 8
 #: Texts that are learned from, for each language at most; windows of each; languages at most, by number of texts.
 PER_LANGUAGE, WINDOWS, LANGUAGES = 1_000, 2, 200
 #: The class of texts in no language, and the probability from which a text is held to be one.
-NOISE, LEAST_NOISE = "\0noise", 0.97
+NOISE, LEAST_NOISE = "\0noise", 0.9
 STEPS, BATCH, RATE = 900, 64, 0.01
 #: Windows that are scored together.
 _GROUP = 1_024
