@@ -430,7 +430,13 @@ def test_rollup(spark, odd):
     after = sorted([("b", "en", "v", 1, 4), ("b", "en", "w", 1, 1), ("b", "en", None, 1, 0)], key=str)
     assert now() == after
     assert not rollup.commit(spark, root, "one", frame(one)) and not rollup.commit(spark, root, "two", frame(two)) and now() == after
-    assert rollup.token_counts(odd).count() > 0 and rollup.token_counts(odd.limit(0)).count() == 0
+    assert rollup.token_counts(odd.limit(0)).count() == 0
+    twice = odd.union(odd).select("*", F.lit(0).alias("tokens"), F.lit("x").alias("version"))
+    rows = rollup.token_counts(twice).groupBy("version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()
+    plain = [r["text"] or "" for r in twice.collect()]
+    assert {r["version"]: (r["docs"], r["tokens"]) for r in rows} == {
+        "spaced": (len(plain), sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in plain)),
+        "words": (len(plain), sum(len(re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", t)) for t in plain))}
 
 
 # Pipeline

@@ -10,7 +10,7 @@ last: an interrupted batch is written over, a repeated one changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vdjloom.llm.mixing import n_words
@@ -86,38 +86,42 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
         .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0"))
 
 
-# Versions of the counter: runs without white space; those with a letter or digit in them; letters and digits only.
-_FIXED, _WORDS = r"[^\x20\x09-\x0D]*[0-9A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-
-
-def _count(pattern: str) -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("bigint")
+_WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def counted(docs: DataFrame, root: str) -> DataFrame:
-    """Totals of ``docs`` (doc_id, text, source, lang) after the changes of a corpus' life, committed to ``root``.
-
-    All documents are inserted under version ``spaced``, then under ``words``;
-    later copies of a text are deleted; counts under ``spaced`` are revised where
-    they took in marks without a letter or digit.  Two batches come again and
-    change nothing.
+    """Totals of ``docs`` (text, source, lang) after the changes of a corpus' life, committed to ``root``.
+
+    Version ``spaced`` counts runs without white space, ``words`` runs of letters
+    and digits.  All rows are inserted under ``spaced``, then under ``words`` with
+    that count as an estimate, which is revised where it differs; later copies of
+    a text are deleted and, as every row is to count, inserted again.  Two batches
+    come again and change nothing.  Rows are told apart by a number written with
+    the counts, so rows that share an id, repeat or have none all count; null text
+    has no tokens, null source and lang are values of their own, an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
-    counts = written(docs.where("doc_id IS NOT NULL").select(
-        "doc_id", "source", "lang", n_words(F.col("text")).alias("spaced"), _count(_FIXED).alias("fixed"),
-        _count(_WORDS).alias("words"), F.md5("text").alias("key")), "counts")
+    counts = written(docs.select(
+        F.monotonically_increasing_id().alias("doc_id"), "source", "lang", n_words(F.col("text")).alias("spaced"),
+        F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("bigint").alias("words"),
+        F.md5("text").alias("key")), "counts")
     first = counts.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copies = counts.join(first.where("n > 1"), "key").where("doc_id <> first")
 
     def changes(rows: DataFrame, seq: int, op: str, version: str, tokens: str) -> DataFrame:
-        return rows.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        return rows.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), "doc_id",
                            F.lit(version).alias("version"), "source", "lang", F.col(tokens).alias("tokens"))
 
+    def both(seq: int, op: str) -> DataFrame:
+        return changes(copies, seq, op, "spaced", "spaced").unionByName(changes(copies, seq, op, "words", "words"))
+
     batches = {
         "load": changes(counts, 1, "insert", "spaced", "spaced"),
-        "recount": changes(counts, 2, "insert", "words", "words"),
-        "revise": changes(counts.where("fixed <> spaced"), 3, "revise", "spaced", "fixed"),
-        "copies": changes(copies, 4, "delete", "spaced", "spaced").unionByName(changes(copies, 4, "delete", "words", "words")),
+        "estimate": changes(counts, 2, "insert", "words", "spaced"),
+        "revise": changes(counts.where("words <> spaced"), 3, "revise", "words", "words"),
+        "copies": both(4, "delete"),
+        "restore": both(5, "insert"),
     }
     for name in (*batches, "load", "copies"):
         commit(spark, root, name, batches[name])
@@ -130,12 +134,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[0-9A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')), 0) AS fixed,
-         coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')), 0) AS words,
-         text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text) AS stays
-  FROM documents WHERE doc_id IS NOT NULL)
-SELECT source, lang, 'spaced' AS version, count(*) AS docs, sum(fixed)::BIGINT AS tokens FROM d WHERE stays GROUP BY ALL
+SELECT source, lang, 'spaced' AS version, count(*) AS docs,
+       sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::BIGINT AS tokens
+FROM documents GROUP BY ALL
 UNION ALL
-SELECT source, lang, 'words', count(*), sum(words)::BIGINT FROM d WHERE stays GROUP BY ALL
+SELECT source, lang, 'words', count(*),
+       sum(coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')), 0))::BIGINT
+FROM documents GROUP BY ALL
 """
