@@ -6,6 +6,8 @@ from vdjloom.catalog.common import r1, with_reads
 from vdjloom.functions import bases, quality
 from vdjloom.functions import fields as fx
 from vdjloom.operators import primers as op
+from vdjloom.operators.primerjoin import primers_score_many
+from vdjloom.sources import derived
 
 SHORT = {"P1": "ACRTNGCA", "P2": "GGYANTCAGT", "P3": "TTSKACG", "P4": "CAWGNNTACB"}
 LONG = {f"V{i}": ("ACGTRYSWKMBDHVN" * 3)[i:i + 18 + i % 3] for i in range(12)}
@@ -65,7 +67,57 @@ SELECT read_id, substr(s, hit.at + hit.plen) AS seq, substr(q, hit.at + hit.plen
 
 EXACT = {"E1": "ACRT", "E2": "GGYA", "E3": "TTSKA"}
 
+_SIX = 6  # primers made of each part
+
+
+def part_primers(spark, sf_dir):
+    """Six primers a part: 13 to 15 bases of a fragment, with one base replaced by R or Y."""
+    at = F.lit(4) + F.col("i") % 2
+    ord_ = F.col("p_partkey") * _SIX + F.col("i")
+    digest = F.translate(F.md5(F.concat(F.lit("f"), (ord_ % derived.GROUPS).cast("string"))),
+                         derived.HEX, derived.BASES)
+    size = F.lit(13) + F.col("i") % 3
+    place = (F.col("p_partkey") % 12 + 1).cast("int")
+    plain = F.substr(digest, at, size)
+    seq = F.concat(F.substr(plain, F.lit(1), place - 1),
+                   F.translate(F.substr(plain, place, F.lit(1)), "ACGT", "RYRY"), F.substr(plain, place + 1))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        "p_partkey", F.explode(F.sequence(F.lit(0), F.lit(_SIX - 1))).alias("i")).select(
+        ord_.alias("ord"), F.concat(F.lit("P"), ord_.cast("string")).alias("name"), seq.alias("seq"))
+
+
+def _many_sql(rev: bool, start: int, max_error: float, select: str) -> str:
+    """All primers against all distinct windows, on packed bases."""
+    codes, sets = "".join(bases.IUPAC), "".join(f"{bases.base_bits(c, True):x}" for c in bases.IUPAC)
+    reads = codes, "".join(f"{bases.base_bits(c, False):x}" for c in bases.IUPAC)
+    pad = "lpad" if rev else "rpad"
+    primer = ("reverse(translate(seq, '" + bases.COMPLEMENT_FROM + "', '" + bases.COMPLEMENT_TO + "'))") if rev else "seq"
+    window = f"right(left(seq, length(seq) - {start}), 15)" if rev else f"substr(seq, {start + 1}, 15)"
+    return with_reads(f"""
+, pk AS (SELECT p_partkey * {_SIX} + i AS ord, 4 + i % 2 AS "at", 13 + i % 3 AS size, CAST(p_partkey % 12 + 1 AS INT) AS place,
+         translate(md5(concat('f', CAST((p_partkey * {_SIX} + i) % {derived.GROUPS} AS VARCHAR))),
+                   '{derived.HEX}', '{derived.BASES}') AS f
+  FROM part CROSS JOIN (SELECT unnest(range(0, {_SIX})) AS i) n),
+pl AS (SELECT ord, size, place, substr(f, "at", size) AS p FROM pk),
+pr AS (SELECT ord, concat('P', CAST(ord AS VARCHAR)) AS name, size AS plen,
+         concat(left(p, place - 1), translate(substr(p, place, 1), 'ACGT', 'RYRY'), substr(p, place + 1)) AS seq FROM pl),
+pp AS (SELECT ord, name, plen, CAST(concat('0x', {pad}(translate({primer}, '{codes}', '{sets}'), 15, '0')) AS BIGINT) AS pw FROM pr),
+d AS (SELECT DISTINCT CAST(concat('0x', {pad}(translate({window}, '{reads[0]}', '{reads[1]}'), 15, '0')) AS BIGINT) AS w FROM r1),
+m AS (SELECT w, name, plen, ord, (w & pw) AS x FROM d CROSS JOIN pp),
+e AS (SELECT w, name, plen, ord, 1 - bit_count((x | (x >> 1) | (x >> 2) | (x >> 3)) & {int("1" * 15, 16)}) / plen AS error FROM m),
+b AS (SELECT w, arg_min({{'name': name, 'plen': plen}}, (error, ord)) AS hit FROM e WHERE error <= {max_error} GROUP BY w),
+q AS (SELECT *, CAST(concat('0x', {pad}(translate({window}, '{reads[0]}', '{reads[1]}'), 15, '0')) AS BIGINT) AS w FROM r1)
+{select}""")
+
+
 QUERIES = {
+    "prm2_score_many": (
+        lambda s, d: _show(primers_score_many(
+            r1(s, d), part_primers(s, d), start=3, max_error=0.2, mode="cut", barcode=True), "PRIMER", "BARCODE"),
+        _many_sql(False, 3, 0.2, """
+SELECT read_id, substr(seq, CAST(4 + hit.plen AS INT)) AS seq, substr(qual, CAST(4 + hit.plen AS INT)) AS qual, hit.name AS primer,
+       left(seq, 3) AS barcode FROM q JOIN b ON q.w = b.w"""),
+    ),
     "prm1_extract_mask": (
         lambda s, d: _show(op.primers_extract(r1(s, d), 8, start=4, barcode=True),
                            "PRIMER", "BARCODE"),

@@ -21,7 +21,7 @@ from vdjloom.operators.filters import split_on
 from vdjloom.operators.gapped import best_alignment
 
 MODES = ("cut", "mask", "trim", "tag")
-MAX_PRIMERS = 2000  # primers are plan literals; larger sets belong in a join
+MAX_PRIMERS = 2000  # primers are plan literals; larger sets: primerjoin.py
 
 Primers = dict[str, str]
 
@@ -30,7 +30,7 @@ def _checked(primers: Primers, rev_primer: bool) -> list[tuple[str, str]]:
     if not primers:
         raise ValueError("no primers given")
     if len(primers) > MAX_PRIMERS:
-        raise ValueError(f"{len(primers)} primers; at most {MAX_PRIMERS} are supported")
+        raise ValueError(f"{len(primers)} primers; at most {MAX_PRIMERS} go into the plan, primers_score_many takes more")
     out = []
     for name, seq in primers.items():
         seq = seq.upper()
@@ -48,7 +48,7 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
-def _finish(df: DataFrame, found: Column, start: Column, end: Column, mode: str,
+def finish(df: DataFrame, found: Column, start: Column, end: Column, mode: str,
             rev_primer: bool, annotate: dict[str, Column], barcode: bool,
             barcode_length: int | None, barcode_field: str, keep: str) -> DataFrame:
     """Apply the mode to [start, end) and add annotations where found."""
@@ -115,7 +115,7 @@ def primers_extract(df: DataFrame, length: int, start: int = 0, mode: str = "mas
         begin = F.least(F.lit(start), size)
         end = F.least(F.lit(start + length), size)
     region = F.substr("seq", begin + 1, end - begin)
-    return _finish(df, F.lit(True), begin, end, mode, rev_primer,
+    return finish(df, F.lit(True), begin, end, mode, rev_primer,
                    {primer_field: F.array(region)}, barcode, barcode_length,
                    barcode_field, keep)
 
@@ -162,7 +162,7 @@ def primers_score(df: DataFrame, primers: Primers, start: int = 0, max_error: fl
     length = _pick([len(p) for _, p in table], F.col("_best.ord"))
     end = size - start if rev_primer else F.lit(start) + length
     begin = end - length if rev_primer else F.lit(start)
-    out = _finish(
+    out = finish(
         scored, (size > 0) & (F.col("_best.error") <= max_error), begin, end, mode, rev_primer,
         {primer_field: F.array(_pick([n for n, _ in table], F.col("_best.ord")))},
         barcode, barcode_length, barcode_field, keep)
@@ -231,6 +231,6 @@ def primers_align(df: DataFrame, primers: Primers, max_error: float = 0.2, max_l
         if "qual" in df.columns:
             aligned = aligned.withColumn(
                 "qual", F.when(turn, F.reverse("qual")).otherwise(F.col("qual")))
-    out = _finish(aligned, found, hit["begin"] + offset, hit["end"] + offset, mode, rev_primer,
+    out = finish(aligned, found, hit["begin"] + offset, hit["end"] + offset, mode, rev_primer,
                   annotate, barcode, barcode_length, barcode_field, keep)
     return out.drop("_fwd", "_rc", "_exact", "_near", "_hit0")

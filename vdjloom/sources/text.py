@@ -85,15 +85,22 @@ def read_barcode_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_primers(spark: SparkSession, path: str) -> dict[str, str]:
-    """Primer names and bases; a small file, checked to be small."""
+    """Primer names and bases; a small file, checked to be small (see ``read_primer_table``)."""
     rows = read_fasta(spark, path).orderBy("seq_no").select(
         F.trim(F.translate("header", "\t", " ")).alias("name"),
         F.upper("seq").alias("seq")).take(MAX_PRIMER_ROWS + 1)
     if len(rows) > MAX_PRIMER_ROWS:
-        raise ValueError(f"{path} has more than {MAX_PRIMER_ROWS} primers")
+        raise ValueError(f"{path} has more than {MAX_PRIMER_ROWS} primers, read_primer_table takes them")
     return {r["name"]: r["seq"] for r in rows}
 
 
+def read_primer_table(spark: SparkSession, path: str) -> DataFrame:
+    """Primers as (ord, name, seq), of any number, for the join form of scoring."""
+    return read_fasta(spark, path).select(
+        F.col("seq_no").alias("ord"), F.trim(F.translate("header", "\t", " ")).alias("name"),
+        F.upper("seq").alias("seq"))
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq) with alignment gaps removed."""
     return read_fasta(spark, path).select(
