@@ -135,6 +135,17 @@ def test_reference_fills_the_gap(spark):
     assert gap.seq == ref[2:20] + "N" * 8 + ref[28:48]
 
 
+def test_tied_references_stay_until_the_mates_meet(spark):
+    """150 alleles share what the head covers; the last by name alone fits the tail."""
+    stem, ends = "ACGGTCATTGCAACGTTAGCCATAGG", ["GATTACCAGTCCATGACTGA", "CTTACGATCCGTAAGCTTGG"]
+    refs = spark.createDataFrame(
+        [(f"A{i:03d}", stem + ends[i == 149]) for i in range(150)], "name string, seq string")
+    head = _reads(spark, [("p", stem[:22], 1)])
+    tail = _reads(spark, [("p", ends[1], 1)])
+    out = assembly.assemble_reference(head, tail, refs, rc="none", fill=True).first()
+    assert (out.seq, out.reference, out.identity) == (stem + ends[1], "A149", 1.0)
+
+
 def test_head_beyond_the_tail(spark):
     fragment = "ACGGTCATTGCAACGTTAGCCATAGG"
     head = _reads(spark, [("p", fragment + "TTTT", 1)])
