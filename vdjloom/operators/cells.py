@@ -39,12 +39,12 @@ class UnresolvedCells(ValueError):
     """Records whose cell is missing or ambiguous; the run stops."""
 
 
-def is_annotation_column(name: str) -> bool:
-    return any(re.match(p, name, re.IGNORECASE) for p in ANNOTATION_COLUMNS)
+_ANNOTATION = re.compile("|".join(f"(?:{p})" for p in ANNOTATION_COLUMNS), re.IGNORECASE)
 
 
 def strip_annotation_columns(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if is_annotation_column(c)])
+    """Only the columns that state nothing about genes, regions or alignments."""
+    return df.select([F.col(f"`{c}`") for c in df.columns if not _ANNOTATION.match(c)])
 
 
 def _record(sequence_id, sequence, cell_id, umis=None, reads=None, is_cell=None,
