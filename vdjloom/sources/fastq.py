@@ -4,8 +4,10 @@ A range owns the records that start in it.  Its reader finds the first record
 start by the FASTQ layout itself: a line opening with ``@`` whose second line
 after it opens with ``+`` and whose sequence and quality have one length.  A
 quality line may open with ``@`` too, but the second line after it is a
-sequence, which never opens with ``+``.  A gzip file cannot be split and is
-one range.
+sequence, which never opens with ``+``.  A gzip file of blocks (each a member
+that states its size) is split at blocks: a range owns the records that start
+after its first block's first byte, up to the first byte of the next range's.
+Any other gzip file cannot be split and is one range.
 """
 
 from __future__ import annotations
@@ -21,10 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from vdjloom.sources.blocks import BlockStream, is_blocked
 from vdjloom.sources.text import parse_header
 
 NAME = "fastq_reads"
 SPLIT_BYTES = 64 << 20
+GZIP_SPLIT_BYTES = 16 << 20
+FILE_BITS = 44  # of seq_no, for the place in a file
+RATIO = 1032    # no compressed byte stands for more
+LEAST_RECORD = 6  # bytes: four lines, one of them with @, one with +
 READ_BYTES = 8 << 20
 _SCHEMA = "header string, seq string, qual array<tinyint>, seq_no bigint"
 _ARROW = pa.schema([
@@ -58,11 +65,21 @@ def _files(path: str) -> list[tuple[str, int]]:
     return found
 
 
+def _blocked(path: str) -> bool:
+    system, inner = _open(path)
+    with system.open_input_file(inner) as source:
+        return is_blocked(source.read(1 << 12))
+
+
 class FastqRange(InputPartition):
     def __init__(self, path: str, number: int, begin: int, end: int | None):
         self.path, self.number, self.begin, self.end = path, number, begin, end
 
 
+class BlockRange(FastqRange):
+    """A range of compressed bytes."""
+
+
 class FastqSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -79,11 +96,17 @@ class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.gzip_split = min(self.split, GZIP_SPLIT_BYTES)
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for number, (path, size) in enumerate(_files(self.path)):
-            if path.endswith(".gz"):
+            if path.endswith(".gz") and _blocked(path):
+                if size * RATIO // LEAST_RECORD >> FILE_BITS:
+                    raise ValueError(f"{path} is too large for row numbers; split the file")
+                out += [BlockRange(path, number, b, min(b + self.gzip_split, size))
+                        for b in range(0, size, self.gzip_split)]
+            elif path.endswith(".gz"):
                 out.append(FastqRange(path, number, 0, None))
             else:
                 out += [FastqRange(path, number, b, min(b + self.split, size))
@@ -92,8 +115,18 @@ class FastqReader(DataSourceReader):
 
     def read(self, partition: FastqRange) -> Iterator[pa.RecordBatch]:
         system, inner = _open(partition.path)
-        base = partition.number << 44
-        if partition.end is None:
+        base = partition.number << FILE_BITS
+        if isinstance(partition, BlockRange):
+            with system.open_input_file(inner) as source:
+                stream = BlockStream(source, partition.begin, partition.end)
+                if stream.start is None:
+                    return
+                # Numbers from the compressed place: RATIO keeps ranges apart, a record's length its neighbours.
+                ahead = stream.start * RATIO
+                for batch in _batches(stream.read, 0, stream.limit, 0, partition.begin == 0):
+                    number = (batch.column(3).to_numpy() + ahead) // LEAST_RECORD + base
+                    yield batch.set_column(3, "seq_no", pa.array(number))
+        elif partition.end is None:
             with system.open_input_stream(inner, compression=None) as raw:
                 with gzip.GzipFile(fileobj=raw) as stream:
                     yield from _batches(stream.read, 0, None, base, True)
@@ -120,7 +153,7 @@ def _first_record(data: bytes, at: int, whole: bool) -> int:
         lines.append(data[here:stop].rstrip(b"\r"))
         starts.append(here)
         here = stop + 1
-    for i in range(min(4, len(lines))):
+    for i in range(4):
         if i + 3 < len(lines):
             if (lines[i][:1] == b"@" and lines[i + 2][:1] == b"+"
                     and len(lines[i + 1]) == len(lines[i + 3])):
@@ -130,10 +163,10 @@ def _first_record(data: bytes, at: int, whole: bool) -> int:
     return len(data)
 
 
-def _batches(read, offset: int, end: int | None, base: int, synced: bool
-             ) -> Iterator[pa.RecordBatch]:
-    """Parse from ``offset``; records starting at or after ``end`` are not ours.
+def _batches(read, offset: int, stop, base: int, synced: bool) -> Iterator[pa.RecordBatch]:
+    """Parse from ``offset``; records starting at or after the end are not ours.
 
+    ``stop`` is the end, None, or a function that knows the end once it is read.
     Unless ``synced``, parsing starts at the first record after a line break.
     """
     data = b""
@@ -141,6 +174,7 @@ def _batches(read, offset: int, end: int | None, base: int, synced: bool
         piece = read(READ_BYTES)
         last = not piece
         data += piece
+        end = stop() if callable(stop) else stop
         if not synced:
             line = data.find(b"\n")
             start = _first_record(data, line + 1, last) if line >= 0 else -1
