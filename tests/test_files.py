@@ -108,3 +108,20 @@ def test_column_pruning_reaches_the_scan(spark, sf_dir, tmp_path):
     plan = _plan(filters.filter_length(spark.read.parquet(str(tmp_path / "reads")), 30)
                  .select("read_id"))
     assert "ReadSchema: struct<read_id:string,seq:string>" in plan
+
+
+def test_table_fingerprint_sees_content_only(spark):
+    rows = [("a", None, 1), ("a", "", 1), ("b", "x", None), ("b", "x", None)]
+    df = spark.createDataFrame(rows, "k string, `v.w` string, n int")
+    one = lambda x: sinks.whole_fingerprint(sinks.table_fingerprint(x)).first()
+    base = one(df)
+    assert base == one(df.repartition(3, "k").select("n", "`v.w`", "k")) and base.n_rows == 4
+    assert base.sha256 != one(df.distinct()).sha256
+    assert base.sha256 != one(spark.createDataFrame([("a", "", 1)] * 2 + rows[2:], df.schema)).sha256
+    assert one(df.limit(0)).n_rows == 0
+
+
+def test_profile_summary(spark):
+    df = spark.createDataFrame([("a|X=1",), ("b|y",), ("c",), (None,), ("d=1",)], "header string")
+    assert tuple(text.profile_summary(df).first()) == (5, 1, True)
+    assert tuple(text.profile_summary(df.where("header = 'c'")).first()) == (1, 0, False)

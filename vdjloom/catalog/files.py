@@ -94,6 +94,24 @@ def _final_round(s, d):
     return text.read_contig_fasta(s, path).select("sequence_id", "sequence")
 
 
+def _plain(s, d):
+    return r1(s, d).select("read_id", "seq", quality.encode(F.col("qual")).alias("qual"),
+                           fx.text(F.col("BARCODE")).alias("barcode"), F.when(
+                               F.col("seq_no") % 3 != 0, F.col("seq_no")).alias("number"))
+
+
+def _fingerprint_sql(select):
+    columns = ", ".join(f"coalesce(CAST(length({v}) AS VARCHAR) || ':' || {v}, '-')" for v in (
+        "barcode", "number", "qual", "read_id", "seq"))
+    sums = ", ',', ".join(f"CAST(sum(CAST(concat('0x', substr(h, {i * 15 + 1}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    return with_reads(f"""
+, p AS (SELECT read_id, seq, qual, barcode, CASE WHEN seq_no % 3 <> 0 THEN CAST(seq_no AS VARCHAR) END AS number FROM r1),
+h AS (SELECT sha256(concat({columns})) AS h FROM p),
+b AS (SELECT left(h, 2) AS bucket, count(*) AS n_rows,
+        sha256(concat(CAST(count(*) AS VARCHAR), ',', {sums})) AS sha256 FROM h GROUP BY 1)
+SELECT {select} FROM b""")
+
+
 QUERIES = {
     "src1_read_fastq": (
         lambda s, d: _fastq(s, d).select(
@@ -188,6 +206,21 @@ QUERIES = {
             "read_id", "seq", F.col("qual").isNull().alias("no_quality")),
         with_reads("SELECT read_id, seq, TRUE AS no_quality FROM r1"),
     ),
+    "snk9_table_fingerprint": (
+        lambda s, d: sinks.table_fingerprint(_plain(s, d)),
+        _fingerprint_sql("bucket, n_rows, sha256"),
+    ),
+    "snk9_whole_fingerprint": (
+        lambda s, d: sinks.whole_fingerprint(sinks.table_fingerprint(_plain(s, d))),
+        _fingerprint_sql("CAST(sum(n_rows) AS BIGINT) AS n_rows, "
+                         "sha256(string_agg(concat(bucket, sha256), ',' ORDER BY bucket)) AS sha256"),
+    ),
+    "src4_profile_summary": (
+        lambda s, d: text.profile_summary(_header_text(r1(s, d).where("seq LIKE 'A%'")).unionByName(
+            r1(s, d).where("seq NOT LIKE 'A%'").select("seq", F.col("read_id").alias("header")))),
+        with_reads("SELECT count(*) AS records, count(*) FILTER (seq LIKE 'A%') AS with_fields, "
+                   "bool_or(seq LIKE 'A%') AS parsed FROM r1"),
+    ),
     "snk9_fingerprint": (
         lambda s, d: sinks.fingerprint(s, [f"{_local(d)}/{t}.parquet" for t in (
             "lineitem", "orders", "customer")]),

@@ -108,6 +108,36 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> DataFrame:
         _digests, "name string, size_bytes bigint, sha256 string")
 
 
+def _row_text(df: DataFrame) -> Column:
+    """All columns of a row, by name, each with its length in front so that no two rows read alike."""
+    values = [F.col(f"`{c}`").cast("string") for c in sorted(df.columns)]
+    return F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
+
+
+def table_fingerprint(df: DataFrame, digits: int = 2) -> DataFrame:
+    """(bucket, n_rows, sha256) of a table's content, whatever its order, files and partitions.
+
+    Rows are hashed where they are and summed map-side by the first ``digits`` hex
+    digits of their hash, so the shuffle carries at most 16 ** digits rows a task.
+    Repeated rows count, null differs from empty text, column order does not
+    matter; an empty table has no buckets.  Sums find changes, they are no
+    defence against rows made to collide.
+    """
+    hashed = df.select(F.sha2(_row_text(df), 256).alias("h"))
+    sums = [F.sum(F.conv(F.substr("h", F.lit(i * 15 + 1), F.lit(15)), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
+            for i in range(4)]
+    return hashed.groupBy(F.left("h", F.lit(digits)).alias("bucket")).agg(
+        F.count("*").alias("n_rows"), *sums).select(
+        "bucket", "n_rows", F.sha2(F.concat_ws(",", "n_rows", *[f"s{i}" for i in range(4)]), 256).alias("sha256"))
+
+
+def whole_fingerprint(buckets: DataFrame) -> DataFrame:
+    """One row (n_rows, sha256) from the bounded number of buckets of ``table_fingerprint``."""
+    ordered = F.array_sort(F.collect_list(F.concat("bucket", "sha256")))
+    return buckets.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+                       F.sha2(F.array_join(ordered, ","), 256).alias("sha256"))
+
+
 def run_summary(records: DataFrame, report: DataFrame, files: DataFrame, options: dict
                 ) -> DataFrame:
     """One JSON row: counts, parse report, file fingerprints and options."""

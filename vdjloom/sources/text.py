@@ -39,6 +39,14 @@ def profile_fields(df: DataFrame, max_records: int | None = None, header: str =
     )
 
 
+def profile_summary(df: DataFrame, header: str = "header") -> DataFrame:
+    """One row (records, with_fields, parsed): how many headers hold a field with a name, and whether any does."""
+    parts = F.slice(F.split(header, r"\|"), F.lit(2), F.size(F.split(header, r"\|")))
+    named = F.exists(parts, lambda p: F.trim(F.substring_index(p, "=", 1)) != F.trim(p))
+    found = F.count_if(F.coalesce(named, F.lit(False)))
+    return df.agg(F.count("*").alias("records"), found.alias("with_fields"), (found > 0).alias("parsed"))
+
+
 def read_fasta(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
     """FASTA records: header, seq (line breaks removed), seq_no, read_id, fields.
 
