@@ -40,13 +40,6 @@ FROM (
 ) v
 """
 
-FRAGMENTS = """
-SELECT concat('F', g) AS name,
-       translate(concat(md5(concat('f', g)), md5(concat('g', g))),
-                 '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq
-FROM (SELECT DISTINCT CAST(l_orderkey % 4999 AS VARCHAR) AS g FROM lineitem) d
-"""
-
 # Scores of a Phred+33 text as a list.
 SCORES = "list_transform(string_split(qual, ''), lambda c: ord(c) - 33)"
 
@@ -60,6 +53,14 @@ def with_reads(body: str) -> str:
     )
 
 
+#: Read and mate side by side, found by one grouping: r1 joined with r2 on read_id.
+MATES = """
+, mates AS (SELECT read_id, min(barcode) AS barcode, min(sample) AS sample,
+       min(seq) FILTER (WHERE mate = 1) AS s1, min(seq) FILTER (WHERE mate = 2) AS s2,
+       min(qual) FILTER (WHERE mate = 1) AS q1, min(qual) FILTER (WHERE mate = 2) AS q2
+  FROM reads GROUP BY read_id HAVING count(DISTINCT mate) = 2)"""
+
+
 def r1(spark, sf_dir):
     return derived.mate(spark, sf_dir, 1)
 

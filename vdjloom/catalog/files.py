@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vdjloom.catalog.common import r1, r2, with_reads
+from vdjloom.catalog.common import MATES, r1, r2, with_reads
 from vdjloom.functions import fields as fx
 from vdjloom.functions import quality
 from vdjloom.functions.durable import shared_dir
@@ -150,14 +150,15 @@ QUERIES = {
         lambda s, d: text.extract_10x_tags(r1(s, d), r2(s, d), "v2").select(
             "read_id", "seq", fx.text(F.col("BARCODE")).alias("barcode"),
             fx.text(F.col("UMI")).alias("umi")),
-        with_reads("SELECT r2.read_id, r2.seq, substr(r1.seq, 1, 16) AS barcode, "
-                   "substr(r1.seq, 17, 10) AS umi FROM r1 JOIN r2 ON r1.read_id = r2.read_id"),
+        with_reads(MATES + "\nSELECT read_id, s2 AS seq, substr(s1, 1, 16) AS barcode, "
+                   "substr(s1, 17, 10) AS umi FROM mates"),
     ),
     "src13_whitelist": (
         lambda s, d: text.whitelist(r1(s, d), r2(s, d).filter("seq_no % 11 = 0").select(
             F.element_at("BARCODE", 1).alias("b"))).select("read_id", "seq"),
-        with_reads("SELECT read_id, seq FROM r1 WHERE barcode IN "
-                   "(SELECT barcode FROM r2 WHERE seq_no % 11 = 0)"),
+        with_reads("""
+, m AS (SELECT *, bool_or(mate = 2 AND seq_no % 11 = 0) OVER (PARTITION BY barcode) AS listed FROM reads)
+SELECT read_id, seq FROM m WHERE mate = 1 AND listed"""),
     ),
     "src14_split_tags": (
         lambda s, d: text.split_tags(_tagged(s, d)).select(

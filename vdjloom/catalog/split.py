@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vdjloom.catalog.common import r1, r2, with_reads
+from vdjloom.catalog.common import MATES, r1, r2, with_reads
 from vdjloom.functions import fields as fx
 from vdjloom.operators import split as op
 
@@ -78,10 +78,9 @@ SELECT read_id, primer FROM (
         lambda s, d: (lambda p: p[0].select("read_id", "seq", F.lit(1).alias("mate")).union(
             p[1].select("read_id", "seq", F.lit(2).alias("mate"))))(
             op.sample_pairs(r1(s, d), r2(s, d), [200], seed=3)),
-        with_reads("""
-, k AS (SELECT read_id FROM r1 WHERE read_id IN (SELECT read_id FROM r2)
-        ORDER BY md5(concat('3:', read_id)), read_id LIMIT 200)
-SELECT read_id, seq, mate FROM reads WHERE read_id IN (SELECT read_id FROM k)"""),
+        with_reads(MATES + """
+, k AS (SELECT * FROM mates ORDER BY md5(concat('3:', read_id)), read_id LIMIT 200)
+SELECT read_id, unnest([s1, s2]) AS seq, unnest([1, 2]) AS mate FROM k"""),
     ),
     "win7_sort_text": (
         lambda s, d: op.split_count(
@@ -147,7 +146,8 @@ WHERE NOT (CASE WHEN mate = 1 THEN sample = 'S0' ELSE primer = 'IGL' END AND seq
             r1(s, d), "BARCODE",
             r2(s, d).filter(F.col("seq").contains("N")).select(F.element_at("BARCODE", 1))
         ).select("read_id", "seq"),
-        with_reads("SELECT read_id, seq FROM r1 WHERE barcode IN "
-                   "(SELECT barcode FROM r2 WHERE contains(seq, 'N'))"),
+        with_reads("""
+, m AS (SELECT *, bool_or(mate = 2 AND contains(seq, 'N')) OVER (PARTITION BY barcode) AS hit FROM reads)
+SELECT read_id, seq FROM m WHERE mate = 1 AND hit"""),
     ),
 }
