@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vdjloom.catalog.common import MATES, r1, r2, with_reads
 from vdjloom.functions import fields as fx
+from vdjloom.functions import ordering
 from vdjloom.operators import split as op
 
 
@@ -83,15 +84,13 @@ SELECT read_id, primer FROM (
 SELECT read_id, unnest([s1, s2]) AS seq, unnest([1, 2]) AS mate FROM k"""),
     ),
     "win7_sort_text": (
-        lambda s, d: op.split_count(
-            op.sort_reads(r1(s, d), "BARCODE").withColumn(
-                "seq_no", F.monotonically_increasing_id()), 500).select("read_id", "part"),
+        lambda s, d: op.split_count(ordering.renumber(
+            op.sort_reads(r1(s, d), "BARCODE"), "seq_no"), 500).select("read_id", "part"),
         with_reads("SELECT read_id, (row_number() OVER (ORDER BY barcode, seq_no) - 1) // 500 + 1 AS part FROM r1"),
     ),
     "win7_sort_numeric": (
-        lambda s, d: op.split_count(
-            op.sort_reads(_with_line(r1(s, d)), "PKEY", numeric=True).withColumn(
-                "seq_no", F.monotonically_increasing_id()), 500).select("read_id", "part"),
+        lambda s, d: op.split_count(ordering.renumber(
+            op.sort_reads(_with_line(r1(s, d)), "PKEY", numeric=True), "seq_no"), 500).select("read_id", "part"),
         with_reads("SELECT read_id, (row_number() OVER (ORDER BY CAST(string_split(read_id, '.')[3] "
                    "AS DOUBLE), seq_no) - 1) // 500 + 1 AS part FROM r1"),
     ),

@@ -12,7 +12,10 @@ from vdjloom.sources.schema import require_field
 
 
 def split_count(df: DataFrame, n: int) -> DataFrame:
-    """Add ``part``: consecutive parts of ``n`` reads in input order, from 1."""
+    """Add ``part``: consecutive parts of ``n`` reads in input order, from 1.
+
+    Input order is ``seq_no``; sorted reads take theirs from ``ordering.renumber``.
+    """
     numbered = ordering.number_rows(df, "seq_no", "_row")
     return numbered.withColumn(
         "part", (F.floor(F.col("_row") / n) + 1).cast("bigint")).drop("_row")
@@ -129,13 +132,13 @@ def _parts(keyed: DataFrame, limit: int) -> DataFrame:
     """(_key, part): values laid end to end and cut greedily at ``limit`` reads.
 
     Value i takes the places [begin, end).  If a part opens at i, the next
-    part opens at the value that covers the place begin + limit.  That
-    successor is found for every value at once; the values that really open a
-    part are those reachable from the first one, found by pointer doubling.
+    part opens at the value that covers the place begin + limit, or at the end
+    of value i if that lies further on.  That successor is found for every
+    value at once; the values that really open a part are those reachable from
+    the first one, found by pointer doubling.
     """
     sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
-    ranked = checkpoint(
-        sizes.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()))
+    ranked = ordering.renumber(sizes.orderBy("_key"), "_rank")
     laid = ordering.running(ranked, "_rank", F.col("_n"), "begin").select(
         "_key", "begin", (F.col("begin") + F.col("_n")).alias("end"))
     laid = checkpoint(laid)
@@ -161,28 +164,21 @@ def _parts(keyed: DataFrame, limit: int) -> DataFrame:
 
 
 def _successors(laid: DataFrame, limit: int) -> DataFrame:
-    """(begin, next): the begin of the value that covers place begin + limit.
+    """(begin, next): where the part opens that follows one opened at begin.
+
+    That is the value that covers place begin + limit, or the one behind a value
+    that fills a part of its own.
 
-    Values are entered in every stretch of ``limit`` places they overlap, so
-    the covering value is found inside one stretch, which holds at most
-    ``limit`` values.
+    Values lie end to end, so the one that covers a place is the last that
+    begins at or before it.
     """
-    entries = laid.select(
-        F.explode(F.sequence(
-            F.floor(F.col("begin") / limit), F.floor((F.col("end") - 1) / limit)
-        )).alias("stretch"),
-        F.col("begin").alias("at"), F.lit(0).alias("is_ask"),
-        F.struct("begin", "end").alias("value"))
-    asks = laid.select(
-        F.floor((F.col("begin") + limit) / limit).alias("stretch"),
-        (F.col("begin") + limit).alias("at"), F.lit(1).alias("is_ask"),
-        F.struct("begin", "end").alias("value"))
-    before = Window.partitionBy("stretch").orderBy("at", "is_ask").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cover = F.last(F.when(F.col("is_ask") == 0, F.col("value")), ignorenulls=True)
-    found = entries.union(asks).withColumn("cover", cover.over(before)).filter("is_ask = 1")
+    values = laid.select(F.col("begin").alias("at"), F.struct("begin", "end").alias("value"),
+                         F.lit(None).cast("bigint").alias("asker"))
+    asks = laid.select(F.greatest(F.col("begin") + limit, F.col("end")).alias("at"), F.lit(None).cast("struct<begin:bigint,end:bigint>"),
+                       F.col("begin"))
+    found = ordering.highest(values.union(asks), "at", F.col("value"), "cover").filter("asker IS NOT NULL")
     return found.select(
-        F.col("value.begin").alias("begin"),
+        F.col("asker").alias("begin"),
         F.when(F.col("cover.end") > F.col("at"), F.col("cover.begin")).alias("next"))
 
 
