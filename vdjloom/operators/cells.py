@@ -215,7 +215,7 @@ def chain_fields(report: DataFrame) -> DataFrame:
         F.transform(F.split("_value", ","), lambda t: F.trim(t)).alias("tokens"))
 
 
-def _chain_contigs(report: DataFrame, ids: DataFrame) -> DataFrame:
+def report_contigs(report: DataFrame, ids: DataFrame) -> DataFrame:
     """Chain fields with the contig each one names: the first of its tokens
     that is a known contig; the token before it is the read count."""
     tokens = chain_fields(report).select(
@@ -236,7 +236,7 @@ def _mappings(annot: DataFrame, report: DataFrame | None, airr: DataFrame | None
     ids = annot.select("sequence_id").distinct()
     found = []
     if report is not None:
-        found.append(_chain_contigs(report, ids).filter("contig IS NOT NULL").select(
+        found.append(report_contigs(report, ids).filter("contig IS NOT NULL").select(
             "contig", "cell", "reads", F.struct(F.lit(0).alias("source"), F.col(
                 "place.seq_no").alias("row"), F.col("place._at").alias("at")).alias("order")))
     if airr is not None:
@@ -323,7 +323,7 @@ def mapping_report(annot: DataFrame, report: DataFrame | None = None,
 def assembler_report(annot: DataFrame, report: DataFrame) -> DataFrame:
     """One row of counts over a barcode report; see ``mapping_report`` for all sources."""
     ids = annot.select("sequence_id").distinct()
-    chains = _chain_contigs(report, ids).agg(
+    chains = report_contigs(report, ids).agg(
         F.count_if(F.col("contig").isNotNull()).alias("report_chain_fields_parsed"),
         F.count_if(F.col("contig").isNull()).alias("report_chain_fields_unmatched"))
     rows = report.agg(
