@@ -41,6 +41,13 @@ t AS (SELECT {key} AS {name}, count(*) FILTER (ref <> obs) AS mismatch, count(*)
 {_rates(name, 't')}""")
 
 
+#: The table by position as it is written: six decimals.
+POSITION_TEXT = with_reads(_CELLS + """,
+t AS (SELECT pos AS position, count(*) FILTER (ref <> obs) AS mismatch, count(*) AS total FROM b GROUP BY pos)
+SELECT CAST(position AS VARCHAR) AS position, CAST(mismatch AS VARCHAR) AS mismatch, CAST(total AS VARCHAR) AS total,
+       printf('%.6f', CASE WHEN mismatch = 0 THEN 1e-9 ELSE CAST(mismatch AS DOUBLE) / total END) AS error FROM t""")
+
+
 def _show(df):
     keys = [c for c in df.columns if c not in ("mismatch", "total", "rep_q", "error", "emp_q")]
     return df.select(*keys, "mismatch", "total", F.round("rep_q", 6).alias("rep_q"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vdjloom.catalog.common import MATES, r1, r2, with_reads
+from vdjloom.catalog.errors import POSITION_TEXT
 from vdjloom.functions import fields as fx
 from vdjloom.functions import quality
 from vdjloom.functions.durable import shared_dir
@@ -198,7 +199,7 @@ SELECT read_id, seq FROM m WHERE mate = 1 AND listed"""),
     "snk6_error_text": (
         lambda s, d: sinks.error_text(errors.error_profile(r1(s, d), min_count=5)["position"]).select(
             "position", "mismatch", "total", "error"),
-        None,
+        POSITION_TEXT,
     ),
     "snk7_write_parts": (
         _parts, with_reads("SELECT read_id, seq, primer AS part FROM r1")),

@@ -144,6 +144,14 @@ SELECT barcode AS read_id, CASE WHEN count(*) < 9 THEN 'CONSCOUNT' END AS reason
         with_reads(_bases("barcode") + _qual_calls("barcode")
                    + "\nSELECT barcode AS read_id, seq, qual FROM f"),
     ),
+    "agg6_qual_consensus_dependent": (
+        # The highest score of a base instead of the sum.
+        lambda s, d: op.build_consensus(r1(s, d), min_qual=20, dependent=True).select(
+            "read_id", "seq", quality.encode(F.col("qual")).alias("qual")),
+        with_reads(_bases("barcode").replace("sum(q)", "max(q)")
+                   + _qual_calls("barcode").replace("least(top - (tot - top), 90)", "top")
+                   + "\nSELECT barcode AS read_id, seq, qual FROM f"),
+    ),
     "agg7_gap_positions": (
         lambda s, d: op.build_consensus(
             op.align_offset(r1(s, d), _offsets(s)), max_gap=0.3, use_quality=False,
