@@ -64,10 +64,15 @@ def write_header_table(df: DataFrame, fields: list[str], path: str) -> None:
 
 
 def error_text(table: DataFrame) -> DataFrame:
-    """Rates with six decimals, NA for missing ones."""
+    """Rates with six decimals, NA for missing ones.
+
+    The exact binary value is rounded, half to even, as C's printf does; Java's
+    format rounds the shortest decimal text instead, which ties more often.
+    """
+    six = F.udf(lambda v: None if v is None else f"{v:.6f}", "string", useArrow=True)
     shown = []
     for name, kind in table.dtypes:
-        value = F.format_string("%.6f", name) if kind == "double" else F.col(name).cast("string")
+        value = six(F.col(name)) if kind == "double" else F.col(name).cast("string")
         shown.append(F.coalesce(F.when(F.col(name).isNotNull(), value), F.lit("NA")).alias(name))
     return table.select(*shown)
 
