@@ -14,3 +14,13 @@ def test_rates_round_their_exact_value(spark):
     shown = sinks.error_text(spark.createDataFrame([(i, r) for i, r in enumerate(rates)], "i int, error double"))
     assert {int(r.i): r.error for r in shown.collect()} == {
         i: "NA" if r is None else "%.6f" % r for i, r in enumerate(rates)}
+
+
+def test_rollup_reports_first_copies_and_marks(spark):
+    rows = [(3, "a b - c", "s", "en"), (1, "a b - c", "t", None), (None, "a b - c", "s", "en"), (1, None, "s", "en"), (2, "--", None, "en")]
+    got = {(r.source, r.lang, r.version): tuple(r)[3:] for r in rollup.token_counts(
+        spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")).collect()}
+    assert got == {
+        ("s", "en", "spaced"): (3, 8, 1, 0), ("s", "en", "words"): (3, 6, 1, 0),
+        ("t", None, "spaced"): (1, 4, 1, 3), ("t", None, "words"): (1, 3, 1, 3),
+        (None, "en", "spaced"): (1, 1, 1, 0), (None, "en", "words"): (1, 0, 1, 0)}

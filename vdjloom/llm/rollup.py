@@ -10,7 +10,7 @@ last: an interrupted batch is written over, a repeated one changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vdjloom.llm.mixing import n_words
@@ -86,27 +86,39 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
         .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0"))
 
 
-_WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+# Runs without white space that hold a letter or digit; runs of letters and digits.
+_FIXED, _WORDS = r"[^\x20\x09-\x0D]*[0-9A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def _count(pattern: str) -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("bigint")
 
 
 def counted(docs: DataFrame, root: str) -> DataFrame:
-    """Totals of ``docs`` (text, source, lang) after the changes of a corpus' life, committed to ``root``.
+    """Totals of ``docs`` (doc_id, text, source, lang) after the changes of a corpus' life, committed to ``root``.
 
     Version ``spaced`` counts runs without white space, ``words`` runs of letters
     and digits.  All rows are inserted under ``spaced``, then under ``words`` with
-    that count as an estimate, which is revised where it differs; later copies of
-    a text are deleted and, as every row is to count, inserted again.  Two batches
-    come again and change nothing.  Rows are told apart by a number written with
-    the counts, so rows that share an id, repeat or have none all count; null text
-    has no tokens, null source and lang are values of their own, an empty table
-    gives no rows.
+    that count as an estimate, which is revised where it differs; counts under
+    ``spaced`` are revised where they took in marks without a letter or digit, and
+    later copies of a text are deleted.  What the store then holds is reported as
+    ``first_docs`` and ``first_tokens``.  As every row is to count, the copies are
+    inserted again and the counts under ``spaced`` set back: ``docs`` and
+    ``tokens``.  Two batches come again and change nothing.
+
+    Of equal texts the row with the smallest doc_id is first (null last), then
+    that with the smallest source and lang (null first).  Rows are told apart by a
+    number written with the counts, so rows that share an id, repeat or have none
+    all count; null text has no tokens and no copies, null source and lang are
+    values of their own, an empty table gives no rows.
     """
     spark = docs.sparkSession
     counts = written(docs.select(
-        F.monotonically_increasing_id().alias("doc_id"), "source", "lang", n_words(F.col("text")).alias("spaced"),
-        F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("bigint").alias("words"),
-        F.md5("text").alias("key")), "counts")
-    first = counts.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        F.monotonically_increasing_id().alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"),
+        "source", "lang", n_words(F.col("text")).alias("spaced"), _count(_FIXED).alias("fixed"), _count(_WORDS).alias("words"),
+        F.md5("text").alias("key")), "counts").withColumnRenamed("row", "doc_id")
+    first = counts.where("key IS NOT NULL").groupBy("key").agg(
+        F.min_by("doc_id", F.struct("id", "source", "lang", "doc_id")).alias("first"), F.count("*").alias("n"))
     copies = counts.join(first.where("n > 1"), "key").where("doc_id <> first")
 
     def changes(rows: DataFrame, seq: int, op: str, version: str, tokens: str) -> DataFrame:
@@ -116,16 +128,23 @@ def counted(docs: DataFrame, root: str) -> DataFrame:
     def both(seq: int, op: str) -> DataFrame:
         return changes(copies, seq, op, "spaced", "spaced").unionByName(changes(copies, seq, op, "words", "words"))
 
+    marked = counts.where("fixed <> spaced")
     batches = {
         "load": changes(counts, 1, "insert", "spaced", "spaced"),
         "estimate": changes(counts, 2, "insert", "words", "spaced"),
-        "revise": changes(counts.where("words <> spaced"), 3, "revise", "words", "words"),
+        "revise": changes(counts.where("words <> spaced"), 3, "revise", "words", "words").unionByName(
+            changes(marked, 3, "revise", "spaced", "fixed")),
         "copies": both(4, "delete"),
-        "restore": both(5, "insert"),
     }
     for name in (*batches, "load", "copies"):
         commit(spark, root, name, batches[name])
-    return totals(spark, root)
+    kept = totals(spark, root).select(
+        F.struct("source", "lang", "version").alias("_kept"), F.col("docs").alias("first_docs"), F.col("tokens").alias("first_tokens"))
+    commit(spark, root, "restore", both(5, "insert").unionByName(changes(marked, 5, "revise", "spaced", "spaced")))
+    zero = F.lit(0).cast("bigint")
+    return totals(spark, root).join(kept, F.struct("source", "lang", "version").eqNullSafe(F.col("_kept")), "left").select(
+        "source", "lang", "version", "docs", "tokens", F.coalesce("first_docs", zero).alias("first_docs"),
+        F.coalesce("first_tokens", zero).alias("first_tokens"))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -134,11 +153,18 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-SELECT source, lang, 'spaced' AS version, count(*) AS docs,
-       sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::BIGINT AS tokens
-FROM documents GROUP BY ALL
+WITH d AS (
+  SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS spaced,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[0-9A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')), 0) AS fixed,
+         coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')), 0) AS words,
+         text IS NULL OR row_number() OVER (
+           PARTITION BY text ORDER BY doc_id NULLS LAST, source NULLS FIRST, lang NULLS FIRST) = 1 AS stays
+  FROM documents)
+SELECT source, lang, 'spaced' AS version, count(*) AS docs, sum(spaced)::BIGINT AS tokens,
+       count(*) FILTER (stays) AS first_docs, coalesce(sum(fixed) FILTER (stays), 0)::BIGINT AS first_tokens
+FROM d GROUP BY ALL
 UNION ALL
-SELECT source, lang, 'words', count(*),
-       sum(coalesce(len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')), 0))::BIGINT
-FROM documents GROUP BY ALL
+SELECT source, lang, 'words', count(*), sum(words)::BIGINT,
+       count(*) FILTER (stays), coalesce(sum(words) FILTER (stays), 0)::BIGINT
+FROM d GROUP BY ALL
 """
