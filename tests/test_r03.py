@@ -24,3 +24,25 @@ def test_rollup_reports_first_copies_and_marks(spark):
         ("s", "en", "spaced"): (3, 8, 1, 0), ("s", "en", "words"): (3, 6, 1, 0),
         ("t", None, "spaced"): (1, 4, 1, 3), ("t", None, "words"): (1, 3, 1, 3),
         (None, "en", "spaced"): (1, 1, 1, 0), (None, "en", "words"): (1, 0, 1, 0)}
+
+
+def test_parts_over_many_blocks(spark, monkeypatch):
+    """Chains that pass several blocks, by a greedy loop; few rounds of jumps however many parts."""
+    import random
+    from vdjloom.functions import ordering
+    pick = random.Random(5)
+    counts = [(f"v{i:05d}", pick.choice([1, 1, 2, 3, 9])) for i in range(3_000)]
+    reads = spark.createDataFrame([(v, k * 100 + i) for k, (v, n) in enumerate(counts) for i in range(n)], "v string, seq_no bigint")
+    # Each read is a job's worth of rounds only in the number of blocks, not of parts.
+    written, plain = [], split.checkpoint
+    monkeypatch.setattr(split, "checkpoint", lambda df: written.append(1) or plain(df))
+    got = {(r.V[0], r.part) for r in split.sort_reads(
+        reads.select(F.array("v").alias("V"), "seq_no"), "V", max_count=7).select("V", "part").distinct().collect()}
+    part, used, want = 1, 0, set()
+    for v, n in counts:
+        if used and used + n > 7:
+            part, used = part + 1, 0
+        used += n
+        want.add((v, part))
+    assert got == want and len(written) <= 5 + 2 * 5
+    assert ordering.BITS == 16

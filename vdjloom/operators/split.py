@@ -134,16 +134,23 @@ def _parts(keyed: DataFrame, limit: int) -> DataFrame:
     Value i takes the places [begin, end).  If a part opens at i, the next
     part opens at the value that covers the place begin + limit, or at the end
     of value i if that lies further on.  That successor is found for every
-    value at once; the values that really open a part are those reachable from
-    the first one, found by pointer doubling.
+    value at once.  Values lie in blocks of at most 65,536 that follow each
+    other; in a block the chain from every value is followed to the first value
+    behind the block, so pointer doubling only needs the values where a chain
+    enters a block.  Then each block marks the values that open a part on the
+    one chain that enters it.
     """
     sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     ranked = ordering.renumber(sizes.orderBy("_key"), "_rank")
     laid = ordering.running(ranked, "_rank", F.col("_n"), "begin").select(
-        "_key", "begin", (F.col("begin") + F.col("_n")).alias("end"))
+        "_key", F.shiftright("_rank", ordering.BITS).alias("block"), "begin", (F.col("begin") + F.col("_n")).alias("end"))
     laid = checkpoint(laid)
-    jump = _successors(laid, limit)
-    opened = laid.filter(F.col("begin") == 0).select("begin")
+    chain = checkpoint(laid.select("block", "begin").join(_successors(laid, limit), "begin"))
+    left = checkpoint(chain.groupBy("block").applyInPandas(_leaver(), "begin bigint, next bigint"))
+    entered = left.select(F.col("next").alias("begin")).filter("begin IS NOT NULL").union(
+        left.filter("begin = 0").select("begin")).distinct()
+    jump = checkpoint(left.join(entered, "begin", "left_semi"))
+    opened = left.filter("begin = 0").select("begin")
     found = opened.count()
     while True:
         step = jump.join(opened, "begin").select(F.col("next").alias("begin"))
@@ -154,15 +161,54 @@ def _parts(keyed: DataFrame, limit: int) -> DataFrame:
         found = size
         far = jump.select(F.col("begin").alias("next"), F.col("next").alias("far"))
         jump = checkpoint(jump.join(far, "next").select("begin", F.col("far").alias("next")))
-    starts = ordering.number_rows(opened, "begin", "_part").select(
-        F.col("begin").alias("_open"), (F.col("_part") + 1).alias("part"))
+    entry = chain.join(opened, "begin", "left_semi").select("block", F.col("begin").alias("entry"))
+    marks = chain.join(entry, "block").groupBy("block").applyInPandas(_marker(), "begin bigint, _mark int")
     # Each value belongs to the last part opened at or before it.
-    marks = laid.join(starts, laid["begin"] == starts["_open"], "left").select(
-        "_key", "begin", F.when(F.col("_open").isNotNull(), 1).otherwise(0).alias("_mark"))
-    counted = ordering.running(marks, "begin", F.col("_mark"), "_before")
+    marked = laid.join(checkpoint(marks), "begin", "left").select(
+        "_key", "begin", F.coalesce("_mark", F.lit(0)).alias("_mark"))
+    counted = ordering.running(marked, "begin", F.col("_mark"), "_before")
     return counted.select("_key", (F.col("_before") + F.col("_mark")).alias("part"))
 
 
+def _leaver():
+    """Per value of a block: the first value behind the block on the chain from it."""
+    import numpy as np
+    import pandas as pd
+
+    def leave(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("begin", ignore_index=True)
+        begin = block["begin"].to_numpy()
+        inside = np.searchsorted(begin, block["next"].fillna(-1).to_numpy("int64"))
+        behind = block["next"].isna() | (block["next"] > begin[-1])
+        out = block["next"].tolist()
+        for i in range(len(out) - 1, -1, -1):
+            if not behind[i]:
+                out[i] = out[inside[i]]
+        return pd.DataFrame({"begin": begin, "next": pd.array(
+            [None if pd.isna(x) else int(x) for x in out], "Int64")})
+
+    return leave
+
+
+def _marker():
+    """Per value of a block: 1 if a part opens there on the chain that enters at ``entry``."""
+    import numpy as np
+    import pandas as pd
+
+    def mark(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("begin", ignore_index=True)
+        begin, following = block["begin"].to_numpy(), block["next"].fillna(-1).to_numpy("int64")
+        marks = np.zeros(len(begin), "int32")
+        at = int(block["entry"].iloc[0])
+        while 0 <= at <= begin[-1]:
+            place = int(np.searchsorted(begin, at))
+            marks[place] = 1
+            at = int(following[place])
+        return pd.DataFrame({"begin": begin, "_mark": marks})
+
+    return mark
+
+
 def _successors(laid: DataFrame, limit: int) -> DataFrame:
     """(begin, next): where the part opens that follows one opened at begin.
 
