@@ -26,6 +26,13 @@ def test_rollup_reports_first_copies_and_marks(spark):
         (None, "en", "spaced"): (1, 1, 1, 0), (None, "en", "words"): (1, 0, 1, 0)}
 
 
+def test_primers_that_read_alike_are_one(spark):
+    primers = spark.createDataFrame([(9, "x", "ACGTACGT"), (2, "y", "acgtacgt"), (5, None, "ACGTACGT"), (1, "z", "ACGTRCGT")],
+                                    "ord bigint, name string, seq string")
+    table, width = primerjoin._prepared(primers, 0.2, False)
+    assert {(r._ord, r._name) for r in table.collect()} == {(2, "y"), (1, "z")} and width == 8
+
+
 def test_parts_over_many_blocks(spark, monkeypatch):
     """Chains that pass several blocks, by a greedy loop; few rounds of jumps however many parts."""
     import random
