@@ -53,3 +53,18 @@ def test_parts_over_many_blocks(spark, monkeypatch):
         want.add((v, part))
     assert got == want and len(written) <= 5 + 2 * 5
     assert ordering.BITS == 16
+
+
+def test_few_values_and_groups_do_not_move_the_reads(spark):
+    """Neither a selection by a small table nor a sample by group deals the reads out by their value."""
+    reads = spark.range(5_000).select(F.concat(F.lit("r"), "id").alias("read_id"), F.lit("ACGT").alias("seq"), F.col("id").alias("seq_no"),
+                                      F.array(F.when(F.col("id") % 9 == 0, "b").otherwise("a")).alias("V")).repartition(4)
+    plans = {}
+    for negate, want in ((False, 556), (True, 4_444)):
+        plans[negate] = split.select_reads(reads, "V", spark.createDataFrame([("b",), ("c",)], "v string"), negate=negate)
+        assert plans[negate].count() == want
+    plans["sample"] = split.sample_reads(reads, [50], field="V", seed=3)
+    assert {r["v"]: r["n"] for r in plans["sample"].groupBy(F.col("V")[0].alias("v")).agg(F.count("*").alias("n")).collect()} == {"a": 50, "b": 50}
+    for df in plans.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)"), plan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vdjloom.functions import fields as fx
 from vdjloom.functions import ordering
-from vdjloom.functions.durable import checkpoint
+from vdjloom.functions.durable import checkpoint, few
 from vdjloom.sources.schema import require_field
 
 
@@ -76,20 +76,21 @@ def sample_reads(df: DataFrame, sizes: list[int], field: str | None = None,
 
     A group is cut into slices of its lottery numbers.  Only slices that reach
     into the sample are ranked, each by itself, so no task sorts a whole group
-    or sample, whatever their sizes.
+    or sample, whatever their sizes.  Groups and slices are looked up where the
+    reads lie (see ``few``), so reads outside those slices do not move.
     """
     pool = _restrict(df, field, values).withColumn("_ticket", _ticket(seed))
     largest = max(sizes)
     each = field is not None and values is None
     group = F.coalesce(F.concat(F.lit("="), fx.text(F.col(field))), F.lit("")) if each else F.lit("")
     pool = pool.withColumn("_group", group)
-    slices = pool.groupBy("_group").agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
+    slices = few(pool.groupBy("_group").agg(F.ceil(F.count("*") / SLICE).alias("_slices")))
     draw = F.conv(F.substring("_ticket", 1, 13), 16, 10).cast("bigint").cast("double") / float(16 ** 13)
     sliced = pool.join(slices, "_group").withColumn("_slice", F.floor(draw * F.col("_slices"))).drop("_slices")
     before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    reached = sliced.groupBy("_group", "_slice").agg(F.count("*").alias("_n")).select(
+    reached = few(sliced.groupBy("_group", "_slice").agg(F.count("*").alias("_n")).select(
         "_group", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).filter(
-        F.col("_before") < largest)
+        F.col("_before") < largest))
     order = Window.partitionBy("_group", "_slice").orderBy("_ticket", "read_id")
     drawn = sliced.join(reached, ["_group", "_slice"]).withColumn(
         "_rank", F.row_number().over(order) + F.col("_before")).filter(F.col("_rank") <= largest).drop(
@@ -235,7 +236,8 @@ def select_reads(df: DataFrame, field: str, values: list[str] | DataFrame,
     """Keep (or drop) reads with any value of ``field`` among ``values``.
 
     ``values`` is a list, or a DataFrame whose first column holds the values;
-    the latter becomes a semi (anti) join.  A read without the field has none of
+    the latter becomes a semi (anti) join, by broadcast if it is small (see
+    ``few``), so that few values make no few tasks.  A read without the field has none of
     the values, so kept and dropped reads together are the input.
     """
     require_field(df, field)
@@ -244,13 +246,13 @@ def select_reads(df: DataFrame, field: str, values: list[str] | DataFrame,
             F.arrays_overlap(F.col(field), F.array(*[F.lit(str(v)) for v in values])),
             F.lit(False))
         return df.filter(~hit if negate else hit)
-    table = values.select(F.col(values.columns[0]).cast("string").alias("_v")).distinct()
+    table = few(values.select(F.col(values.columns[0]).cast("string").alias("_v")).distinct())
     several = F.coalesce(F.size(field), F.lit(0)) > 1
     single = df.filter(~several).withColumn("_v", F.get(field, F.lit(0)))
     many = df.filter(several)
     # Whether a read has one of the values depends on its field alone, so the reads need no names.
     held = many.select(F.col(field).alias("_held")).distinct()
-    hits = held.select("_held", F.explode("_held").alias("_v")).join(table, "_v", "left_semi").select("_held").distinct()
+    hits = few(held.select("_held", F.explode("_held").alias("_v")).join(table, "_v", "left_semi").select("_held").distinct())
     how = "left_anti" if negate else "left_semi"
     kept = single.join(table, "_v", how).drop("_v").select(*df.columns)
     return kept.unionByName(many.join(hits, F.col(field) == F.col("_held"), how))
