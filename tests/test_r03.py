@@ -68,3 +68,17 @@ def test_few_values_and_groups_do_not_move_the_reads(spark):
     for df in plans.values():
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)"), plan
+
+
+def test_records_are_validated_in_one_pass(spark):
+    """The first valid record per id, made once and without a join of the records with themselves."""
+    from vdjloom.operators import cells, filters
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda s: seen.add(1) or s, "string").asNondeterministic()
+    rows = [("a", "AC GT", 1), ("a", "ACGT", 3), ("a", "TTTT", 2), ("b", "GG", 1), (None, "CC", 2), (None, "AA", 1)]
+    df = spark.createDataFrame(rows, "sequence_id string, sequence string, seq_no bigint")
+    good = cells.validate_records(df.withColumn("sequence", touch("sequence")))
+    assert {tuple(r) for r in good.collect()} == {("a", "TTTT", 2), ("b", "GG", 1), (None, "AA", 1)}
+    assert seen.value == len(rows)
+    plan = filters.first_by_id(df, "sequence_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan

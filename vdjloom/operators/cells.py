@@ -346,8 +346,11 @@ def assembler_report(annot: DataFrame, report: DataFrame) -> DataFrame:
 def validate_records(records: DataFrame, check: bool = True) -> DataFrame:
     """Drop invalid sequences and repeated ids (the first stays)."""
     good = first_by_id(valid_sequence(records, "sequence"), "sequence_id")
-    if check and not good.limit(1).count():
-        raise ValueError("no valid sequences remained after validation")
+    if check:
+        # Records are made once: the check reads what the result reads.
+        good = checkpoint(good)
+        if good.isEmpty():
+            raise ValueError("no valid sequences remained after validation")
     return good
 
 

@@ -137,12 +137,17 @@ def first_by_id(df: DataFrame, id_col: str = "read_id", order: str = "seq_no",
     id and order the one with the smallest hash of its columns is first, and of
     wholly equal records one.  Records without an id count as one id.
 
-    The first per id comes from a pre-aggregated hash aggregate and the flag
+    The first per id comes from an aggregate that starts before the shuffle, and
+    with it the whole record if only those are kept.  Otherwise the flag comes
     from a join by the record's hash, so an id shared by very many records never
     gathers them in one sort.
     """
     require_field(df, id_col, order)
     own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if keep == "pass":
+        record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.groupBy(F.col(id_col).alias("_id")).agg(
+            F.min_by(record, F.struct(F.col(order), own)).alias("_record")).select("_record.*")
     numbered = df.withColumn("_own", own)
     firsts = numbered.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(order, "_own"))["_own"].alias("_own"))
     same = F.row_number().over(Window.partitionBy("_own", id_col).orderBy("_own"))
