@@ -82,3 +82,16 @@ def test_records_are_validated_in_one_pass(spark):
     assert seen.value == len(rows)
     plan = filters.first_by_id(df, "sequence_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_seeds_of_reads_do_not_move(spark):
+    """With a small reference set the k-mers of the reads are neither shuffled nor sorted to meet the index."""
+    from vdjloom.operators import assembly
+    import random
+    pick = random.Random(1)
+    refs = [(f"F{i}", "".join(pick.choice("ACGT") for _ in range(64))) for i in range(20)]
+    pairs = spark.createDataFrame([(f"r{i}", s[:26], s[-26:]) for i, (_, s) in enumerate(refs)], "read_id string, _h string, _t string")
+    placed = assembly.place_on_reference(pairs, spark.createDataFrame(refs, "name string, seq string"), 11, 1, 100, 1)
+    assert {(r.read_id, r.ref, r.hp, r.tp) for r in placed.collect()} == {(f"r{i}", f"F{i}", 0, 38) for i in range(20)}
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
