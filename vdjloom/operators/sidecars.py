@@ -35,7 +35,7 @@ def assembler_sources(annot: DataFrame, report: DataFrame | None = None, airr: D
     ids = annot.select("sequence_id").distinct()
     sources = [_headers(annot, "annot_header")]
     if report is not None:
-        named = cells.report_contigs(report, ids).filter("contig IS NOT NULL").select(
+        named = cells.named_contigs(report, ids).select(
             F.col("contig").alias("sequence_id"), F.col("place.seq_no").alias("seq_no")).distinct()
         rows = report.select("seq_no", *_prefixed(report, "barcode_report"))
         sources.append((named.join(rows, "seq_no"), "sequence_id"))
