@@ -39,3 +39,14 @@ def test_merged_annotations_move_once(spark):
     merged = cells.merge_annotations([(one, "id"), (two, "id")])
     assert {(r.sequence_id, r.u, r.v) for r in merged.collect()} == {("a", "x", "q"), ("b", "", ""), ("c", "", "r")}
     assert "Aggregate" not in _plan(merged)
+
+
+def test_ranges_of_a_large_file_are_bounded(tmp_path):
+    """Short ranges of a large input are drawn out, so that tasks do not grow with it; every byte is in one range."""
+    from vdjloom.sources import fastq
+    path = tmp_path / "large.fastq"
+    with open(path, "wb") as f:
+        f.truncate(6 << 30)  # sparse, only its size is read
+    ranges = fastq.FastqReader({"path": str(path), "splitBytes": 1 << 18}).partitions()
+    assert len(ranges) <= fastq.MOST_RANGES and ranges[0].begin == 0 and ranges[-1].end == 6 << 30
+    assert all(a.end == b.begin for a, b in zip(ranges, ranges[1:]))

@@ -33,6 +33,7 @@ FILE_BITS = 44  # of seq_no, for the place in a file
 RATIO = 1032    # no compressed byte stands for more
 LEAST_RECORD = 6  # bytes: four lines, one of them with @, one with +
 READ_BYTES = 8 << 20
+MOST_RANGES = 1000  # of one read; larger inputs are cut into longer ranges, each costs a task
 _SCHEMA = "header string, seq string, qual array<tinyint>, seq_no bigint"
 _ARROW = pa.schema([
     ("header", pa.string()), ("seq", pa.string()), ("qual", pa.list_(pa.int8())),
@@ -100,17 +101,20 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for number, (path, size) in enumerate(_files(self.path)):
+        files = _files(self.path)
+        least = -(-sum(size for _, size in files) // MOST_RANGES)
+        split, gzip_split = max(self.split, min(least, SPLIT_BYTES)), max(self.gzip_split, min(least, GZIP_SPLIT_BYTES))
+        for number, (path, size) in enumerate(files):
             if path.endswith(".gz") and _blocked(path):
                 if size * RATIO // LEAST_RECORD >> FILE_BITS:
                     raise ValueError(f"{path} is too large for row numbers; split the file")
-                out += [BlockRange(path, number, b, min(b + self.gzip_split, size))
-                        for b in range(0, size, self.gzip_split)]
+                out += [BlockRange(path, number, b, min(b + gzip_split, size))
+                        for b in range(0, size, gzip_split)]
             elif path.endswith(".gz"):
                 out.append(FastqRange(path, number, 0, None))
             else:
-                out += [FastqRange(path, number, b, min(b + self.split, size))
-                        for b in range(0, max(size, 1), self.split)]
+                out += [FastqRange(path, number, b, min(b + split, size))
+                        for b in range(0, max(size, 1), split)]
         return out
 
     def read(self, partition: FastqRange) -> Iterator[pa.RecordBatch]:
