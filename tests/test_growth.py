@@ -50,3 +50,16 @@ def test_ranges_of_a_large_file_are_bounded(tmp_path):
     ranges = fastq.FastqReader({"path": str(path), "splitBytes": 1 << 18}).partitions()
     assert len(ranges) <= fastq.MOST_RANGES and ranges[0].begin == 0 and ranges[-1].end == 6 << 30
     assert all(a.end == b.begin for a, b in zip(ranges, ranges[1:]))
+
+
+def test_mates_are_made_once_for_check_and_join(spark):
+    """The check of the mates and their join read what was written once, under either rule."""
+    from vdjloom.operators import assembly
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda s: seen.add(1) or s, "string").asNondeterministic()
+    rows = [(f"x{i}", "ACGTACGT", i) for i in range(50)]
+    head, tail = [spark.createDataFrame(rows, "id string, seq string, seq_no bigint").select(
+        touch(F.concat("id", F.lit(f" {m}"))).alias("read_id"), "seq", "seq_no", F.array(F.lit("v")).alias("V")) for m in (1, 2)]
+    got = assembly.assemble_join(head, tail, gap=1, head_fields=("V",)).collect()
+    assert {(r.read_id, r.seq, r.seq_no, r.V[0]) for r in got} == {(f"x{i}", "ACGTACGTNACGTACGT", i, "v") for i in range(50)}
+    assert seen.value == 100
