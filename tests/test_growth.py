@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vdjloom.catalog.common import r1
+from vdjloom.functions import durable
 from vdjloom.operators import cells
+from vdjloom.operators.collapse import collapse
 
 
 def _plan(df):
@@ -63,3 +65,43 @@ def test_mates_are_made_once_for_check_and_join(spark):
     got = assembly.assemble_join(head, tail, gap=1, head_fields=("V",)).collect()
     assert {(r.read_id, r.seq, r.seq_no, r.V[0]) for r in got} == {(f"x{i}", "ACGTACGTNACGTACGT", i, "v") for i in range(50)}
     assert seen.value == 100
+
+
+def _counted(spark, seen):
+    """3,000 reads of 6 sequences, some equal in every column; making a read_id is counted."""
+    touch = F.udf(lambda s: seen.add(1) or s, "string")
+    rows = [(f"r{i}", "ACGT"[i % 4] * 3 + "AC"[i % 2 * (i // 8 % 2)], i, f"s{i % 7}", f"{i % 5}", [f"t{i % 3}", "t1"] if i % 4 else []) for i in range(2_990)]
+    rows += rows[:1] * 5 + [("x", *r[1:]) for r in rows[1:6]]
+    df = spark.createDataFrame(rows, "name string, seq string, seq_no bigint, s string, m string, T array<string>")
+    return rows, df.select(touch("name").alias("read_id"), "seq", "seq_no", F.array("s").alias("S"), F.array("m").alias("M"), "T")
+
+
+def test_collapse_makes_reads_about_once(spark):
+    """Groups, representatives and copied fields take one pass over whole reads; the next one makes few of them."""
+    seen = spark.sparkContext.accumulator(0)
+    rows, df = _counted(spark, seen)
+    got = {r.seq: (r.S, r.T, r.M, int(r.DUPCOUNT[0])) for r in collapse(
+        df, copy={"S": "set", "T": "first", "M": "sum"}).collect()}
+    assert seen.value < 1.5 * len(rows), seen.value
+    for seq in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == seq), key=lambda r: r[2])
+        assert got[seq] == (list(dict.fromkeys(r[3] for r in mine)), next((r[5][:1] for r in mine if r[5]), None),
+                            [str(sum(int(r[4]) for r in mine))], len(mine))
+    assert len(got) == len({r[1] for r in rows})
+
+
+def test_duplicates_are_not_dealt_out_by_read(spark):
+    """All reads but one of each sequence, with copies; only reads with a representative's number are made whole again."""
+    seen = spark.sparkContext.accumulator(0)
+    rows, df = _counted(spark, seen)
+    out = collapse(df, output="duplicate")
+    assert {r.seq: r["count"] for r in out.groupBy("seq").count().collect()} == {
+        s: sum(r[1] == s for r in rows) - 1 for s in {r[1] for r in rows}}
+    assert seen.value < 1.5 * len(rows), seen.value
+    assert len(out.collect()) == len(rows) - len({r[1] for r in rows})
+
+
+def test_places_are_never_missed(spark):
+    kept = spark.range(-50, 5_000, 7)
+    held = [r.id for r in spark.range(-50, 20_000).filter(durable.may_hold(durable.checkpoint(kept), "id", F.col("id"))).collect()]
+    assert set(range(-50, 5_000, 7)) <= set(held) and len(held) < 3_000

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vdjloom.catalog.common import SCORES, r1, r2, with_reads
+from vdjloom.catalog.common import SCORES, both, r1, with_reads
 from vdjloom.functions import fields as fx
 from vdjloom.operators import collapse as op
 from vdjloom.operators import split
@@ -142,13 +142,13 @@ o AS (SELECT g, string_agg(sample, ',' ORDER BY o) AS sample FROM (
 SELECT k.read_id, k.seq, o.sample, CAST(k.n AS VARCHAR) AS dupcount FROM k JOIN o ON k.g = o.g WHERE rn = 1"""),
     ),
     "agg11_collapse_both_mates": (
-        lambda s, d: op.collapse(r1(s, d).unionByName(r2(s, d))).select(
+        lambda s, d: op.collapse(both(s, d)).select(
             "seq", fx.text(F.col("DUPCOUNT")).alias("dupcount")),
         with_reads("SELECT seq, CAST(count(*) AS VARCHAR) AS dupcount FROM reads "
                    "WHERE NOT contains(seq, 'N') GROUP BY seq"),
     ),
     "agg14_duplicates_both_mates": (
-        lambda s, d: op.collapse(r1(s, d).unionByName(r2(s, d)), output="duplicate")
+        lambda s, d: op.collapse(both(s, d), output="duplicate")
         .groupBy("seq").agg(F.count("*").alias("reads")),
         with_reads("SELECT seq, count(*) - 1 AS reads FROM reads "
                    "WHERE NOT contains(seq, 'N') GROUP BY seq HAVING count(*) > 1"),

@@ -1,7 +1,8 @@
 """Collapse duplicate reads, with missing characters as wildcards.
 
-Reads are first reduced to distinct (sequence, uniq fields) by hash
-aggregation, because equal sequences always end in the same group.  Complete
+Reads are first reduced to distinct (sequence, uniq fields) in one pass that
+also folds the copied fields, because equal sequences always end in the same
+group.  Complete
 sequences found their groups; a sequence with missing characters joins the
 first group whose founder it agrees with.  The founder is looked up in an index
 of anchors, stretches at fixed places: every complete sequence has the same
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from vdjloom.functions import bases, quality
 from vdjloom.functions import fields as fx
 from vdjloom.functions.binding import let
-from vdjloom.functions.durable import checkpoint
+from vdjloom.functions.durable import checkpoint, few, may_hold, stored
 from vdjloom.operators.firstfit import first_fit
 from vdjloom.sources.schema import require_field
 
@@ -25,6 +26,7 @@ MISSING = ".-N"
 #: Anchors: a sequence is cut into so many stretches, once for each number.
 ANCHOR_LEVELS = (2, 6)
 RESIDUE_BLOCKS = 8
+MOST_PLACES = 1_000_000  # order numbers of representatives that every task may hold
 _SEP = "\x1f"
 
 
@@ -49,32 +51,40 @@ def collapse(df: DataFrame, max_missing: int = 0, uniq: tuple = (),
         "_u": F.concat_ws(_SEP, *[F.coalesce(fx.text(F.col(f)), F.lit("")) for f in uniq]),
         "_metric": _metric(df, max_field, min_field),
         "_no": _number(df),
+        "_at": _place(),
     }).withColumn("_miss", bases.count_missing(F.col("_s"), MISSING))
     if output == "undetermined":
         return keyed.filter(F.col("_miss") > max_missing).select(*df.columns)
 
     determined = keyed.filter(F.col("_miss") <= max_missing)
-    exact = _exact_groups(determined)
+    if output not in ("unique", "duplicate"):
+        raise ValueError("output must be 'unique', 'duplicate' or 'undetermined'")
+    copied = copy if output == "unique" else {}
+    parts = _partial_groups(determined, copied)
+    if copied or max_missing > 0:
+        parts = stored(parts)
+    exact = _exact_groups(parts) if copied else parts
     if max_missing > 0:
-        exact = checkpoint(exact)
         founders = _founders(exact, max_missing)
+        chosen = _representatives(exact.join(founders, ["_s", "_u"]))
     else:
         founders = exact.select("_s", "_u", F.col("_first").alias("_founder"))
-    groups = exact.join(founders, ["_s", "_u"]) if max_missing > 0 else exact.withColumn(
-        "_founder", F.col("_first"))
-    chosen = _representatives(groups)
+        chosen = exact.select(F.col("_first").alias("_founder"), F.col("_best").alias("_rep"), F.col("_n").alias("_count"))
+    chosen = checkpoint(chosen.select("_founder", "_count", F.col("_rep").alias("_no")))
+    # Few reads have the order number of a representative: only they are told apart by their whole row.
+    places = few(chosen.select(_leading(F.col("_no")).alias("_at")).distinct(), MOST_PLACES)
+    may_be = may_hold(places, "_at", _place())
     equal = F.row_number().over(Window.partitionBy("_no").orderBy("_no"))  # reads equal in every column
     if output == "duplicate":
-        reps = chosen.select(F.col("_rep").alias("_no"), F.lit(True).alias("_is_rep"))
-        return determined.join(reps, "_no", "left").withColumn("_equal", equal).filter(
-            F.col("_is_rep").isNull() | (F.col("_equal") > 1)).select(*df.columns)
-    if output != "unique":
-        raise ValueError("output must be 'unique', 'duplicate' or 'undetermined'")
+        reps = chosen.select("_no", F.lit(True).alias("_is_rep"))
+        near = determined.filter(may_be).join(places, "_at", "left_semi").join(reps, "_no", "left").withColumn(
+            "_equal", equal).filter(F.col("_is_rep").isNull() | (F.col("_equal") > 1))
+        return determined.join(places, "_at", "left_anti").select(*df.columns).union(near.select(*df.columns))
 
-    unique = df.withColumn("_no", _number(df)).drop(*copy, "DUPCOUNT").join(
-        chosen.withColumnRenamed("_rep", "_no"), "_no").withColumn("_equal", equal).filter("_equal = 1").drop("_equal")
+    near = df.filter(may_be).withColumn("_at", _place()).join(places, "_at", "left_semi").withColumn("_no", _number(df))
+    unique = near.drop("_at", *copy, "DUPCOUNT").join(chosen, "_no").withColumn("_equal", equal).filter("_equal = 1")
     for field, action in copy.items():
-        reduced = _copied(determined, founders, field, action)
+        reduced = _copied(determined, parts, founders, field, action)
         unique = unique.join(reduced, "_founder", "left")
     kept = [c for c in df.columns if c not in copy and c != "DUPCOUNT"]
     unique = unique.select(
@@ -99,6 +109,16 @@ def _number(df: DataFrame) -> Column:
     return (order * F.lit(str(10 ** 19)).cast("decimal(20,0)") + own).cast("decimal(38,0)")
 
 
+def _place() -> Column:
+    """The leading part of ``_number``, for which no other column is made."""
+    return F.coalesce(F.col("seq_no").cast("bigint"), F.lit(-1))
+
+
+def _leading(number: Column) -> Column:
+    """``_place`` of a ``_number``: its other part is below 10^19."""
+    return F.floor(number / F.lit(str(10 ** 19)).cast("decimal(20,0)")).cast("bigint")
+
+
 def _metric(df: DataFrame, max_field, min_field) -> Column:
     if max_field is not None:
         return fx.number(fx.text(F.col(max_field)))
@@ -109,17 +129,50 @@ def _metric(df: DataFrame, max_field, min_field) -> Column:
     return F.lit(0.0)
 
 
-def _exact_groups(determined: DataFrame) -> DataFrame:
-    """Distinct sequences: count, first read, best metric and its first read.
+def _partial_groups(determined: DataFrame, copy: dict[str, str]) -> DataFrame:
+    """Distinct sequences, once for each value of the fields copied by value: count, first
+    read, best metric and its first read, and the copied numbers so far.
 
-    Aggregating by (sequence, metric) before (sequence) keeps every buffer of
-    fixed width, so both steps are hash aggregates with map-side combine.
+    Aggregating with the metric before without it keeps every buffer of fixed
+    width, so both steps are hash aggregates with map-side combine.
     """
-    by_metric = determined.groupBy("_s", "_u", "_miss", "_metric").agg(
-        F.count("*").alias("_n"), F.min("_no").alias("_no"))
-    return by_metric.groupBy("_s", "_u", "_miss").agg(
+    values = [F.col(f).alias(f"_value_{f}") for f, action in copy.items() if action in _BY_VALUE]
+    rows, folds = {}, {}
+    for f, action in copy.items():
+        if action in _FOLDS:
+            numbers = F.filter(F.transform(f, fx.number), lambda x: x.isNotNull())
+            rows |= {f"_fold_{f}": _FOLDS[action][0](numbers), f"_some_{f}": F.coalesce(F.size(f) > 0, F.lit(False))}
+            folds |= {f"_fold_{f}": _FOLDS[action][1], f"_some_{f}": F.bool_or}
+        elif action == "last":
+            rows["_last"], folds["_last"] = F.col("_no"), F.max
+        elif action not in (*_BY_VALUE, "cat"):
+            raise ValueError(f"unknown copy action {action!r}")
+    folded = [fold(name).alias(name) for name, fold in folds.items()]
+    keys = ["_s", "_u", "_miss", *[f"_value_{f}" for f, action in copy.items() if action in _BY_VALUE]]
+    by_metric = determined.select("_s", "_u", "_miss", "_metric", "_no", *values, *[
+        x.alias(name) for name, x in rows.items()]).groupBy(*keys, "_metric").agg(
+        F.count("*").alias("_n"), F.min("_no").alias("_no"), *folded)
+    return by_metric.groupBy(*keys).agg(
         F.sum("_n").alias("_n"), F.min("_no").alias("_first"),
-        F.max("_metric").alias("_metric"), F.max_by("_no", "_metric").alias("_best"))
+        F.max("_metric").alias("_metric"), F.max_by("_no", "_metric").alias("_best"), *folded)
+
+
+def _added(numbers: Column) -> Column:
+    return F.when(F.size(numbers) > 0, F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x))
+
+
+#: Copy actions on numbers: within a read, over reads.
+_FOLDS = {"min": (F.array_min, F.min), "max": (F.array_max, F.max), "sum": (_added, F.sum)}
+_BY_VALUE = ("set", "first", "last")
+
+
+def _exact_groups(parts: DataFrame) -> DataFrame:
+    """Distinct sequences: count, first read, best metric and its first read."""
+    lowest = parts.groupBy("_s", "_u", "_miss", "_metric").agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.min("_best").alias("_best"))
+    return lowest.groupBy("_s", "_u", "_miss").agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"),
+        F.max("_metric").alias("_metric"), F.max_by("_best", "_metric").alias("_best"))
 
 
 def _representatives(groups: DataFrame) -> DataFrame:
@@ -133,31 +186,23 @@ def _representatives(groups: DataFrame) -> DataFrame:
         F.sum("_n").alias("_count"), F.min_by("_best", "_miss").alias("_rep"))
 
 
-def _copied(determined: DataFrame, founders: DataFrame, field: str, action: str) -> DataFrame:
+def _copied(determined: DataFrame, parts: DataFrame, founders: DataFrame, field: str, action: str) -> DataFrame:
     """(_founder, field) reduced over all members of the group."""
-    values = determined.select(
-        "_s", "_u", "_miss", "_no", F.posexplode(field).alias("_at", "_v"))
-    if action in ("min", "max", "sum"):
-        fold = {"min": F.min, "max": F.max, "sum": F.sum}[action]
-        part = values.groupBy("_s", "_u").agg(fold(fx.number(F.col("_v"))).alias("_x"))
-        return part.join(founders, ["_s", "_u"]).groupBy("_founder").agg(
-            F.array(fx.compact(fold("_x"))).alias(field))
-    order = F.struct("_miss", "_no", "_at")
+    if action == "cat":
+        values = determined.select("_s", "_u", "_miss", "_no", F.posexplode(field).alias("_at", "_v"))
+        return values.withColumn("_o", F.struct("_miss", "_no", "_at")).join(founders, ["_s", "_u"]).groupBy("_founder").agg(
+            F.array(F.array_join(F.sort_array(F.collect_list(F.struct("_o", "_v")))["_v"], "")).alias(field))
+    grouped = parts.join(founders, ["_s", "_u"])
+    if action in _FOLDS:
+        return grouped.filter(f"`_some_{field}`").groupBy("_founder").agg(
+            F.array(fx.compact(_FOLDS[action][1](f"_fold_{field}"))).alias(field))
+    values = grouped.select("*", F.posexplode(f"_value_{field}").alias("_at", "_v"))
+    order = F.struct("_miss", "_last" if action == "last" else "_first", "_at")
     if action == "set":
-        part = values.groupBy("_s", "_u", "_v").agg(F.min(order).alias("_o"))
-        seen = part.join(founders, ["_s", "_u"]).groupBy("_founder", "_v").agg(
-            F.min("_o").alias("_o"))
-        return seen.groupBy("_founder").agg(
+        return values.groupBy("_founder", "_v").agg(F.min(order).alias("_o")).groupBy("_founder").agg(
             F.sort_array(F.collect_list(F.struct("_o", "_v")))["_v"].alias(field))
-    placed = values.withColumn("_o", order).join(founders, ["_s", "_u"]).groupBy("_founder")
-    if action == "first":
-        return placed.agg(F.array(F.min_by("_v", "_o")).alias(field))
-    if action == "last":
-        return placed.agg(F.array(F.max_by("_v", "_o")).alias(field))
-    if action == "cat":
-        return placed.agg(F.array(F.array_join(
-            F.sort_array(F.collect_list(F.struct("_o", "_v")))["_v"], "")).alias(field))
-    raise ValueError(f"unknown copy action {action!r}")
+    pick = F.min_by if action == "first" else F.max_by
+    return values.groupBy("_founder").agg(F.array(pick("_v", order)).alias(field))
 
 
 # -- wildcard groups -------------------------------------------------------------
