@@ -105,3 +105,17 @@ def test_places_are_never_missed(spark):
     kept = spark.range(-50, 5_000, 7)
     held = [r.id for r in spark.range(-50, 20_000).filter(durable.may_hold(durable.checkpoint(kept), "id", F.col("id"))).collect()]
     assert set(range(-50, 5_000, 7)) <= set(held) and len(held) < 3_000
+
+
+def test_regions_that_read_alike_are_aligned_once(spark, monkeypatch):
+    """600 reads of 3 regions, one of them hit exactly: the helper places two regions, and all reads get their hit."""
+    from vdjloom.operators import primers
+    seen, real = spark.sparkContext.accumulator(0), primers.best_alignment
+    touch = F.udf(lambda s: (s is not None and seen.add(1)) or s, "string")
+    monkeypatch.setattr(primers, "best_alignment", lambda *a: lambda f, r: real(*a)(touch(f), r))
+    seqs = ["TTACGTACGTGG", "TTACGAACGTGG", "CCCCCCCCCCCC"]
+    df = spark.createDataFrame([(f"r{i}", seqs[i % 3] + "ACGT"[i % 4] * 5, i) for i in range(600)], "read_id string, seq string, seq_no bigint")
+    kinds = {k: primers.primers_align(df, {"P": "ACGTACGT"}, max_error=0.2, max_len=12, skip_rc=True, mode="cut", keep=k) for k in ("pass", "fail")}
+    assert {(r.read_id, r.seq, r.PRIMER[0]) for r in kinds["pass"].collect()} == {
+        (f"r{i}", "GG" + "ACGT"[i % 4] * 5, "P") for i in range(600) if i % 3 < 2}
+    assert kinds["fail"].count() == 200 and 0 < seen.value <= 2 * 2, seen.value

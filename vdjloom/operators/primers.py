@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from vdjloom.functions import bases
 from vdjloom.functions.binding import bind
+from vdjloom.functions.durable import few
 from vdjloom.operators.filters import split_on
 from vdjloom.operators.gapped import best_alignment
 
 MODES = ("cut", "mask", "trim", "tag")
+MOST_REGIONS = 1_000_000  # distinct regions with their hit that every task may hold
 MAX_PRIMERS = 2000  # primers are plan literals; larger sets: primerjoin.py
 
 Primers = dict[str, str]
@@ -191,7 +193,9 @@ def primers_align(df: DataFrame, primers: Primers, max_error: float = 0.2, max_l
                   keep: str = "pass") -> DataFrame:
     """Find the best primer anywhere in the first (last) ``max_len`` bases.
 
-    Exact hits are found by regular expressions.  Only reads without one go
+    Regions that read alike are placed once: the distinct ones are written with
+    their hit, and reads look theirs up, where they lie if there are few.  Exact
+    hits are found by regular expressions.  Only regions without one go
     through the alignment helper, in Arrow batches: the whole primer is placed
     in the region, a match scores 1, a mismatch 0 and a gap costs
     ``gap_penalty`` (open, extend; None allows no gaps); the error is
@@ -204,19 +208,23 @@ def primers_align(df: DataFrame, primers: Primers, max_error: float = 0.2, max_l
     def region(seq: Column) -> Column:
         return F.right(seq, F.lit(max_len)) if rev_primer else F.left(seq, F.lit(max_len))
 
-    regions = {"_fwd": F.upper(region(F.col("seq")))}
+    names = {"_fwd": F.upper(region(F.col("seq")))}
     exact = _exact(F.col("_fwd"), table, 0)
     if not skip_rc:
-        regions["_rc"] = F.upper(region(bases.revcomp(F.col("seq"))))
+        names["_rc"] = F.upper(region(bases.revcomp(F.col("seq"))))
         exact += _exact(F.col("_rc"), table, 1)
-    prepared = bind(bind(df, regions), {"_exact": F.coalesce(*exact).cast(_HIT)})
+    distinct = df.select(*[c.alias(n) for n, c in names.items()]).filter(F.length("_fwd") > 0).distinct()
+    prepared = bind(distinct, {"_exact": F.coalesce(*exact).cast(_HIT)})
 
     align = best_alignment([p for _, p in table], gap_penalty, max_len)
-    missed = F.col("_exact").isNull() & (F.length("seq") > 0)
+    missed = F.col("_exact").isNull()
     ask_fwd = F.when(missed, F.col("_fwd"))
     ask_rc = F.lit(None).cast("string") if skip_rc else F.when(missed, F.col("_rc"))
-    aligned = bind(prepared.withColumn("_near", align(ask_fwd, ask_rc)), {
-        "_hit0": F.coalesce("_exact", F.when(~F.isnan("_near.error"), F.col("_near")))})
+    placed = bind(prepared.withColumn("_near", align(ask_fwd, ask_rc)), {
+        "_hit0": F.coalesce("_exact", F.when(~F.isnan("_near.error"), F.col("_near")))}).select(*names, "_hit0")
+    if keep == "pass":  # only regions with a hit are looked up
+        placed = placed.filter(F.col("_hit0.error") <= max_error)
+    aligned = df.withColumns(names).join(few(placed, MOST_REGIONS), list(names), "inner" if keep == "pass" else "left")
 
     hit = F.col("_hit0")
     reverse = hit["strand"] == 1
@@ -233,4 +241,4 @@ def primers_align(df: DataFrame, primers: Primers, max_error: float = 0.2, max_l
                 "qual", F.when(turn, F.reverse("qual")).otherwise(F.col("qual")))
     out = finish(aligned, found, hit["begin"] + offset, hit["end"] + offset, mode, rev_primer,
                   annotate, barcode, barcode_length, barcode_field, keep)
-    return out.drop("_fwd", "_rc", "_exact", "_near", "_hit0")
+    return out.drop("_fwd", "_rc", "_hit0")
