@@ -48,8 +48,9 @@ def filter_quality(df: DataFrame, min_qual: float = 20, inner: bool = True,
     if inner:
         scores = F.when(length == F.length(seq), scores).otherwise(
             F.slice(scores, bases.inner_start(seq) + 1, length))
-    enough = quality.total(scores) >= min_qual * length
-    return split_on(df, (length > 0) & enough, keep)
+    # Bound: a filter below the projection that makes the scores would make them again for every score.
+    passed = bind(df, {"_enough": (length > 0) & (quality.total(scores) >= min_qual * length)})
+    return split_on(passed, F.col("_enough"), keep).drop("_enough")
 
 
 def filter_missing(df: DataFrame, max_missing: int, inner: bool = True,
