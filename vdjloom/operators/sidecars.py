@@ -24,18 +24,19 @@ def _headers(fasta: DataFrame, name: str) -> tuple[DataFrame, str]:
     return fasta.select("sequence_id", F.col("header").alias(name), "seq_no"), "sequence_id"
 
 
-def assembler_sources(annot: DataFrame, report: DataFrame | None = None, airr: DataFrame | None = None) -> Sources:
+def assembler_sources(annot: DataFrame, report: DataFrame | None = None, airr: DataFrame | None = None,
+                      named: DataFrame | None = None) -> Sources:
     """Header of the assembled contig as ``annot_header``, the rows that place it with their columns prefixed.
 
     A row of the barcode report belongs to every contig that one of its chain
     fields names (``barcode_report.``), a row of the AIRR table with a cell to
     its contig (``barcode_airr.``).  Rows that name no assembled contig or no
-    cell add nothing.
+    cell add nothing.  ``named`` is what ``cells.named_contigs`` says of the report, if it is written.
     """
     ids = annot.select("sequence_id").distinct()
     sources = [_headers(annot, "annot_header")]
     if report is not None:
-        named = cells.named_contigs(report, ids).select(
+        named = (cells.named_contigs(report, ids) if named is None else named).select(
             F.col("contig").alias("sequence_id"), F.col("place.seq_no").alias("seq_no")).distinct()
         rows = report.select("seq_no", *_prefixed(report, "barcode_report"))
         sources.append((named.join(rows, "seq_no"), "sequence_id"))
@@ -63,9 +64,9 @@ def fasta_sources(fasta: DataFrame, mapping: DataFrame | None = None) -> Sources
 
 
 def assembler_annotations(records: DataFrame, annot: DataFrame, report: DataFrame | None = None,
-                          airr: DataFrame | None = None) -> DataFrame:
+                          airr: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """The sidecar of ``cells.from_assembler``: one row per record."""
-    return cells.source_annotations(records, assembler_sources(annot, report, airr))
+    return cells.source_annotations(records, assembler_sources(annot, report, airr, named))
 
 
 def fasta_annotations(records: DataFrame, fasta: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

@@ -4,9 +4,9 @@ Each takes two DataFrames of reads (mate 1, mate 2) and the small inputs, and
 returns the final reads; ``header_table`` of the listed fields is its table.
 Offsets and lengths are parameters with the published protocols' values.
 
-Reads are checkpointed where a later step reads its input more than once: the
-filtered mates before pairing, the consensus reads, and the assembled reads
-before the collapse.
+Reads are written where a later step reads its input more than once: the pairs
+of filtered mates, the consensus reads, and the assembled reads before the
+collapse.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from vdjloom.operators.assembly import assemble_align, assemble_sequential
 from vdjloom.operators.collapse import collapse
 from vdjloom.operators.filters import filter_quality
 from vdjloom.operators.headers import collapse_fields
-from vdjloom.operators.pairs import pair_reads
+from vdjloom.operators.pairs import pair_reads, pair_reads_once
 from vdjloom.operators.primers import Primers, primers_align, primers_score
 from vdjloom.operators.sets import build_consensus
 from vdjloom.operators.split import split_threshold
@@ -31,8 +31,7 @@ PLAIN_FIELDS = ["DUPCOUNT", "CPRIMER", "VPRIMER"]
 def _consensus_pair(r1: DataFrame, r2: DataFrame, coord: str, fields_1=(), fields_2=(),
                     primer_freq: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Pair, build one consensus per UMI and mate, and pair the consensus reads."""
-    r1, r2 = checkpoint(r1), checkpoint(r2)
-    p1, p2 = pair_reads(r1, r2, fields_1, fields_2, coord=coord)
+    p1, p2 = pair_reads_once(r1, r2, fields_1, fields_2, coord=coord)
     c1 = build_consensus(p1, primer_field="PRIMER", primer_freq=primer_freq, max_error=0.1,
                          max_gap=0.5)
     c2 = build_consensus(p2, max_error=0.1, max_gap=0.5)
